@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, packing
+from vaultspark.llm import bpe, lookalike, packing, records
 from vaultspark.session import table
 
 
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    return records.copies(table(spark, d, "vault_registry"))
+
+
+def _collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return records.collapsed(table(spark, d, "vault_registry"))
+
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.find_cases(table(spark, d, "vault_registry"))
+
+
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.canonical_values(table(spark, d, "vault_registry"), "note_id", ["title", "concept_key"]).withColumnRenamed("id", "note_id")
+
+
 def _ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_texts(table(spark, d, "documents"))
 
@@ -28,12 +44,31 @@ def _fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": _copies,
+    "p3_records": _collapsed,
+    "p5_found": _cases,
+    "p5_canonical": _canonical,
     "p7_ids": _ids,
     "p7_decoded": _round_trip,
     "p8_containers": _containers,
     "p8_fill": _fill,
 }
 
+_FORMS = r"""
+WITH lines AS (
+  SELECT note_id, unnest(string_split(replace(replace(frontmatter, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) AS line
+  FROM vault_registry WHERE frontmatter IS NOT NULL),
+cut AS (SELECT note_id, split_part(line, ':', 1) AS name, substr(line, length(split_part(line, ':', 1)) + 1) AS val FROM lines),
+bare AS (
+  SELECT note_id, lower(upper(regexp_replace(name, '[^\p{L}\p{N}]+', '', 'g'))) || ':' || lower(upper(regexp_replace(val, '[^\p{L}\p{N}]+', '', 'g'))) AS field FROM cut),
+forms AS (
+  SELECT v.note_id, coalesce(string_agg(b.field, chr(10) ORDER BY b.field) FILTER (b.field <> ':'), '') AS form
+  FROM vault_registry v LEFT JOIN bare b ON b.note_id = v.note_id WHERE v.frontmatter IS NOT NULL GROUP BY v.note_id),
+firsts AS (SELECT form, min(note_id) AS first_id, count(*) AS n_copies FROM forms GROUP BY form)
+"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": _FORMS + "SELECT first_id, note_id AS copy_id FROM forms JOIN firsts USING (form) WHERE note_id <> first_id",
+    "p3_records": _FORMS + "SELECT first_id, n_copies FROM firsts",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
