@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, lookalike, packing, records
+from vaultspark.llm import bpe, lookalike, packing, pieces, records
 from vaultspark.session import table
 
 
+def _oversized(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.find_oversized(table(spark, d, "sections"))
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.all_pieces(table(spark, d, "sections"))
+
+
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     return records.copies(table(spark, d, "vault_registry"))
 
@@ -44,6 +52,8 @@ def _fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": _oversized,
+    "p2_pieces": _pieces,
     "p3_found": _copies,
     "p3_records": _collapsed,
     "p5_found": _cases,
@@ -68,6 +78,9 @@ firsts AS (SELECT form, min(note_id) AS first_id, count(*) AS n_copies FROM form
 """
 
 ORACLE: dict[str, str] = {
+    "p2_found": r"""
+SELECT section_id, CASE WHEN list_max(list_transform(regexp_extract_all(body, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}.!?。！？]+'), lambda x: length(x))) > 4000
+       THEN 'forced' ELSE 'natural' END AS boundary FROM sections WHERE length(body) > 4000""",
     "p3_found": _FORMS + "SELECT first_id, note_id AS copy_id FROM forms JOIN firsts USING (form) WHERE note_id <> first_id",
     "p3_records": _FORMS + "SELECT first_id, n_copies FROM firsts",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
