@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, lookalike, packing, pieces, records
+from vaultspark.llm import bpe, lookalike, packing, pieces, records, subjects
 from vaultspark.session import table
 
 
@@ -51,6 +51,22 @@ def _fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_containers(spark, d))
 
 
+def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "documents"), table(spark, d, "doc_subjects"), table(spark, d, "subjects")
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(*_tables(spark, d))
+
+
+def _topics(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.topics(*_tables(spark, d))
+
+
+def _composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": _oversized,
     "p2_pieces": _pieces,
@@ -62,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_decoded": _round_trip,
     "p8_containers": _containers,
     "p8_fill": _fill,
+    "p9_found": _subjects,
+    "p9_topics": _topics,
+    "p9_corpus": _composition,
 }
 
 _FORMS = r"""
