@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultspark.llm import bpe, lookalike, packing, pieces, records, subjects
+from vaultspark.llm import bpe, lookalike, packing, pieces, records, scanned, subjects
 from vaultspark.session import table
 
 
+def _pages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "layout_candidates"), table(spark, d, "patch_queue"), table(spark, d, "books")
+
+
+def _damage(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.find_damage(*_pages(spark, d))
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(*_pages(spark, d))
+
+
 def _oversized(spark: SparkSession, d: str) -> DataFrame:
     return pieces.find_oversized(table(spark, d, "sections"))
 
@@ -68,6 +80,8 @@ def _composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": _damage,
+    "p1_repaired": _repaired,
     "p2_found": _oversized,
     "p2_pieces": _pieces,
     "p3_found": _copies,
