@@ -20,7 +20,7 @@ from vaultspark.session import stage_table
 # What is printed, and what it is misread as.
 CONFUSIONS = [
     ("e", "c"), ("r", "г"), ("t", "f"), ("l", "1"), ("i", "1"), ("o", "0"), ("i", "l"), ("s", "5"), ("n", "ri"), ("h", "b"), ("d", "cl"), ("u", "ii"), ("m", "rn"),
-    ("g", "9"), ("q", "9"), ("b", "6"), ("g", "6"), ("f", "ſ"), ("s", "ſ"), ("w", "vv"), ("ll", "ii"), ("b", "8"), ("z", "2"), ("n", "ii"), ("li", "h"), ("nn", "m"), ("a", "а"), ("e", "е"), ("o", "о"), ("p", "р"), ("c", "с"),
+    ("g", "9"), ("q", "9"), ("b", "6"), ("g", "6"), ("f", "ſ"), ("s", "ſ"), ("w", "vv"), ("ll", "ii"), ("b", "8"), ("z", "2"), ("n", "ii"), ("li", "h"), ("nn", "m"), ("ü", "ii"), ("ö", "6"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("a", "а"), ("e", "е"), ("o", "о"), ("p", "р"), ("c", "с"),
 ]
 #: Characters that a printed Latin word cannot hold.
 FOREIGN = "[0-9гаеорсſ]"
