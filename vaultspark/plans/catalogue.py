@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.plans import problems
+from vaultspark.plans import markdown, problems
 
 FLAGSHIP = "p4_report"
-MODULES = [problems]
+MODULES = [problems, markdown]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
