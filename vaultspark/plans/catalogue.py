@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.plans import markdown, problems
+from vaultspark.plans import markdown, problems, vault
 
 FLAGSHIP = "p4_report"
-MODULES = [problems, markdown]
+MODULES = [problems, markdown, vault]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
