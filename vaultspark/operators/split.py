@@ -50,7 +50,7 @@ def boundaries(texts: DataFrame, key: str, text: str, patterns: list[tuple[str,
 def absorb(found: Column, min_lines: int = MIN_LINES) -> Column:
     """Boundaries at least min_lines after the last kept one; the anchor moves, so this is a fold."""
     first = F.slice(found, 1, 1)
-    return F.aggregate(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), first, lambda kept, b: F.when(b["line"] - F.element_at(kept, -1)["line"] >= min_lines, F.array_append(kept, b)).otherwise(kept))
+    return F.aggregate(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), first, lambda kept, b: F.when(b["line"] - F.try_element_at(kept, F.lit(-1))["line"] >= min_lines, F.array_append(kept, b)).otherwise(kept))
 
 
 def chapters(texts: DataFrame, key: str, text: str, min_lines: int = MIN_LINES, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
@@ -60,7 +60,7 @@ def chapters(texts: DataFrame, key: str, text: str, min_lines: int = MIN_LINES,
     """
     kept = with_boundaries(texts, key, text, patterns).filter(F.size("boundaries") > 0).withColumn("kept", absorb(F.col("boundaries"), min_lines))
     before = F.struct(F.lit(0).alias("line"), F.lit("preamble").alias("type"), F.lit("preamble").alias("title"))
-    kept = kept.withColumn("kept", F.when(F.element_at("kept", 1)["line"] > 0, F.concat(F.array(before), F.col("kept"))).otherwise(F.col("kept")))
+    kept = kept.withColumn("kept", F.when(F.try_element_at("kept", F.lit(1))["line"] > 0, F.concat(F.array(before), F.col("kept"))).otherwise(F.col("kept")))
     section = kept.select(key, "lines", F.col("kept"), F.posexplode("kept").alias("place", "b"))
     end = F.coalesce(F.try_element_at("kept", F.col("place") + 2)["line"], F.size("lines"))
     seq = F.when(F.col("place") < 99, F.lpad((F.col("place") + 1).cast("string"), 2, "0")).otherwise((F.col("place") + 1).cast("string"))
@@ -73,5 +73,9 @@ def pattern_set(texts: DataFrame, key: str, text: str, n_lines: int = 100) -> Da
     """key, pattern_set: the set with most matches in the first lines, ties by name; texts without a match have no row."""
     lined = texts.filter(F.col(text).isNotNull()).select(key, F.slice(md.lines(F.col(text)), 1, n_lines).alias("lines"))
     chosen = {name: [(r, t) for r, t in PATTERNS if t in types] for name, types in PATTERN_SETS.items()}
-    votes = F.array_sort(F.array(*[F.struct((-F.size(F.filter("lines", lambda x, p=p: kind(x, p).isNotNull()))).alias("n"), F.lit(name).alias("name")) for name, p in sorted(chosen.items())]))
+
+    def matches(patterns: list[tuple[str, str]]) -> Column:
+        return F.size(F.filter("lines", lambda x: kind(x, patterns).isNotNull()))
+
+    votes = F.array_sort(F.array(*[F.struct((-matches(p)).alias("n"), F.lit(name).alias("name")) for name, p in sorted(chosen.items())]))
     return lined.select(key, votes[0].alias("best")).filter("best.n < 0").select(key, F.col("best.name").alias("pattern_set"))

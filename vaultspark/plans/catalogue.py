@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.plans import markdown, problems, vault
+from vaultspark.plans import markdown, pages, problems, vault
 
-FLAGSHIP = "p4_report"
-MODULES = [problems, markdown, vault]
+FLAGSHIP = "rank_notes"
+MODULES = [problems, markdown, vault, pages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

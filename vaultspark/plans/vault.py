@@ -29,17 +29,33 @@ def _files(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: f(scan.files(table(spark, d, "raw_sources").select("path", F.col("byte_size").alias("size"))))
 
 
+def _deliveries(f: Callable[[DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = F.concat(F.regexp_replace("path", r"\.md$", "."), F.coalesce("file_format", F.lit("md")))
+        return f(scan.files(table(spark, d, "vault_registry").select(path.alias("path"), F.col("line_count").cast("bigint").alias("size"))))
+
+    return run
+
+
+def _section_names(spark: SparkSession, d: str) -> DataFrame:
+    coded = F.when(F.pmod(F.col("section_id"), F.lit(3)) == 0, F.concat(F.element_at(F.split("stem", "-"), -1), F.lit("-"), F.col("seq"))).otherwise(F.substring_index("path", "/", -1))
+    return scan.name_groups(table(spark, d, "sections").select(coded.alias("name")))
+
+
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "layout_candidates").select(F.regexp_replace("heading", "^(?:Of the|On the|The) ", "").alias("title"))
     return N.title_mentions(table(spark, d, "documents"), "doc_id", "text", titles)
 
 
 def _xref(spark: SparkSession, d: str) -> DataFrame:
-    return N.cross_references(table(spark, d, "sections"), "section_id", "body")
+    referring = table(spark, d, "sections").select("section_id", F.concat_ws(" ", F.concat(F.lit("For this see "), F.col("chapter")), F.concat(F.lit("見"), F.col("chapter"))).alias("text"))
+    return N.cross_references(referring, "section_id", "text")
 
 
 def _contract(spark: SparkSession, d: str) -> DataFrame:
-    return N.contract_violations(table(spark, d, "documents"), "doc_id", "text")
+    notes = table(spark, d, "vault_registry")
+    end = F.when(F.pmod(F.col("note_id"), F.lit(5)) == 0, "] [x](").otherwise("]] [x](")
+    return N.contract_violations(notes.select("note_id", F.concat(F.lit("[["), F.col("title"), end, F.col("path"), F.lit(")")).alias("text")), "note_id", "text")
 
 
 def _delta(spark: SparkSession, d: str) -> DataFrame:
@@ -99,9 +115,9 @@ _VIEW = {
 
 QUERIES: dict[str, Query] = {
     "scan_format_stats": _files(scan.format_stats),
-    "scan_skipped": _files(scan.skipped),
+    "scan_skipped": _deliveries(scan.skipped),
     "scan_directory_groups": _files(scan.directory_groups),
-    "scan_filename_groups": _files(scan.name_groups),
+    "scan_filename_groups": _section_names,
     "scan_language_bias": _files(scan.language_bias),
     "large_files": _files(scan.large_files),
     "inbound_links": _notes(N.inbound),
@@ -162,10 +178,11 @@ keyed AS (SELECT *, {S.slug('candidate')} AS key FROM each)
 
 ORACLE: dict[str, str] = {
     "scan_format_stats": _FILES + f"SELECT extension, count(*) AS n_files, sum(size) AS n_bytes FROM files WHERE extension IN ({_FORMATS}) GROUP BY ROLLUP (extension)",
-    "scan_skipped": _FILES + f"SELECT extension, count(*) AS n_files FROM files WHERE extension NOT IN ({_FORMATS}) GROUP BY extension",
+    "scan_skipped": f"WITH files AS (SELECT lower('.' || coalesce(file_format, 'md')) AS extension FROM vault_registry) SELECT extension, count(*) AS n_files FROM files WHERE extension NOT IN ({_FORMATS}) GROUP BY extension",
     "scan_directory_groups": _FILES + "SELECT directory, count(*) AS n_files FROM files GROUP BY directory HAVING count(*) >= 2 AND directory <> '.'",
-    "scan_filename_groups": _FILES + rf"""
-, numbered AS (SELECT upper(regexp_extract(name, '^([A-Za-z]+)[_\-](\d+)', 1)) AS label, count(*) AS n FROM files GROUP BY 1 HAVING label <> '' AND n >= 2),
+    "scan_filename_groups": rf"""
+WITH files AS (SELECT CASE WHEN section_id % 3 = 0 THEN list_extract(string_split(stem, '-'), -1) || '-' || seq ELSE regexp_replace(path, '^.*/', '') END AS name FROM sections),
+numbered AS (SELECT upper(regexp_extract(name, '^([A-Za-z]+)[_\-](\d+)', 1)) AS label, count(*) AS n FROM files GROUP BY 1 HAVING label <> '' AND n >= 2),
 words AS (SELECT regexp_extract({S.stem('name')}, '^([^\s_\-.]{{2,}})', 1) AS label, count(*) AS n FROM files GROUP BY 1 HAVING label <> '' AND n >= 3)
 SELECT 'numbered_pattern' AS kind, label || '-NNN' AS label, n FROM numbered UNION ALL SELECT 'common_prefix', label, n FROM words WHERE upper(label) NOT IN (SELECT label FROM numbered)""",
     "scan_language_bias": _FILES + r"""
@@ -193,7 +210,7 @@ WHERE text IS NOT NULL AND length(title) >= 3 AND contains(text, title) AND NOT
     + S.strip("reference")
     + " AS reference FROM (SELECT section_id, unnest(list_concat("
     + ", ".join(f"regexp_extract_all(body, '{p}', 1)" for p in N.XREF)
-    + ")) AS reference FROM sections WHERE body IS NOT NULL)",
+    + ")) AS reference FROM (SELECT section_id, concat_ws(' ', 'For this see ' || chapter, '見' || chapter) AS body FROM sections))",
     "registry_notes": _LINKS + "SELECT note_id, path, coalesce(title, s.stem) AS title, coalesce(note_type, '') AS note_type, coalesce(len(headings), 0) AS n_headings, coalesce(len(outbound_links), 0) AS n_outbound, n_links, n_sources FROM stems s JOIN inb USING (stem)",
     "registry_sources": f"WITH {_SOURCES} SELECT source, path FROM pages",
     "registry_stats": f"WITH {_SOURCES} SELECT count(*) AS n_notes, CAST(coalesce(sum(len(outbound_links)), 0) AS BIGINT) AS n_links, count(DISTINCT nullif(category, '')) AS n_categories, (SELECT count(DISTINCT source) FROM pages) AS n_sources FROM vault_registry",
@@ -211,9 +228,10 @@ HAVING count(*) >= 2 AND heading NOT IN (SELECT stem FROM stems WHERE note_type
 SELECT path, note_id FROM stems WHERE mtime < TIMESTAMP '2024-01-01' AND coalesce(note_type, '') <> 'index'
 AND stem NOT IN (SELECT target FROM occ JOIN vault_registry USING (note_id) WHERE mtime >= TIMESTAMP '2024-01-01') ORDER BY path, note_id LIMIT 25""",
     "lint_contract": r"""
+WITH t AS (SELECT note_id, '[[' || title || CASE WHEN note_id % 5 = 0 THEN '] [x](' ELSE ']] [x](' END || path || ')' AS text FROM vault_registry)
 SELECT * FROM (
-  SELECT doc_id, 'unbalanced_wikilink' AS violation, CAST(len(string_split(text, '[[')) <> len(string_split(text, ']]')) AS INTEGER) AS n FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT doc_id, 'markdown_link', len(list_filter(regexp_extract_all(text, '\[[^\]]*\]\(([^)]+)\)', 1), lambda x: contains(x, '.md') AND NOT contains(x, '://'))) FROM documents WHERE text IS NOT NULL) WHERE n > 0""",
+  SELECT note_id, 'unbalanced_wikilink' AS violation, CAST(len(string_split(text, '[[')) <> len(string_split(text, ']]')) AS INTEGER) AS n FROM t WHERE text IS NOT NULL
+  UNION ALL SELECT note_id, 'markdown_link', len(list_filter(regexp_extract_all(text, '\[[^\]]*\]\(([^)]+)\)', 1), lambda x: contains(x, '.md') AND NOT contains(x, '://'))) FROM t WHERE text IS NOT NULL) WHERE n > 0""",
     "ingest_delta": """
 WITH b AS (SELECT path, max(raw_hash) AS old FROM raw_sources WHERE ingested_at < TIMESTAMP '2024-07-01' GROUP BY path), a AS (SELECT path, max(source_hash) AS new FROM raw_sources WHERE removed_at IS NULL GROUP BY path)
 SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'removed' WHEN old = new THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.path = b.path""",
