@@ -177,7 +177,7 @@ keyed AS (SELECT *, {S.slug('candidate')} AS key FROM each)
 """
 
 ORACLE: dict[str, str] = {
-    "scan_format_stats": _FILES + f"SELECT extension, count(*) AS n_files, sum(size) AS n_bytes FROM files WHERE extension IN ({_FORMATS}) GROUP BY ROLLUP (extension)",
+    "scan_format_stats": _FILES + f"SELECT extension, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS n_bytes FROM files WHERE extension IN ({_FORMATS}) GROUP BY ROLLUP (extension)",
     "scan_skipped": f"WITH files AS (SELECT lower('.' || coalesce(file_format, 'md')) AS extension FROM vault_registry) SELECT extension, count(*) AS n_files FROM files WHERE extension NOT IN ({_FORMATS}) GROUP BY extension",
     "scan_directory_groups": _FILES + "SELECT directory, count(*) AS n_files FROM files GROUP BY directory HAVING count(*) >= 2 AND directory <> '.'",
     "scan_filename_groups": rf"""
