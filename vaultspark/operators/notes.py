@@ -195,3 +195,28 @@ def contract_violations(texts: DataFrame, key: str, text: str) -> DataFrame:
     unbalanced = (F.size(F.split(t, r"\[\[", -1)) != F.size(F.split(t, r"\]\]", -1))).cast("int")
     each = F.explode(F.array(F.struct(F.lit("unbalanced_wikilink").alias("violation"), unbalanced.alias("n")), F.struct(F.lit("markdown_link").alias("violation"), links.alias("n")))).alias("v")
     return texts.filter(t.isNotNull()).select(key, each).select(key, "v.*").filter("n > 0")
+
+
+def homepage(notes: DataFrame, entries: int = PAGE_ENTRIES) -> DataFrame:
+    """section (first folder), page, n, body: all notes by path as list items with the beginning of their summaries, in pages of bounded length."""
+    item = F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("]]"), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), F.left("summary", F.lit(180)))).otherwise(""))
+    rows = notes.filter("path is not null").select(md.category(F.col("path")).alias("section"), "path", "note_id", item.alias("item"))
+    placed = grouped_position(rows, ["section"], ["path", "note_id"]).withColumn("page", F.ceil(F.col("position") / entries).cast("int"))
+    pages = placed.groupBy("section", "page").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
+    return pages.select("section", "page", "n", F.array_join(F.transform("items", lambda x: x["item"]), "\n").alias("body"))
+
+
+def children(notes: DataFrame) -> DataFrame:
+    """parent, n_children of every parent that notes name."""
+    return notes.filter("coalesce(parent, '') <> ''").groupBy("parent").agg(F.count("*").alias("n_children"))
+
+
+def expanded_aliases(questions: DataFrame, aliases: DataFrame) -> DataFrame:
+    """question_id, token, term: each token of a question (question_id, question) with the terms that mean the same.
+
+    aliases: topic, alias. A token that is an alias, regardless of case, brings the topic's other aliases; any brings itself.
+    """
+    tokens = questions.select("question_id", F.explode(F.array_distinct(md.tokens(F.col("question")))).alias("token"))
+    known = aliases.select(F.lower("alias").alias("token"), "topic").distinct()
+    others = aliases.select("topic", F.lower("alias").alias("term")).distinct()
+    return tokens.join(known, "token").join(others, "topic").select("question_id", "token", "term").union(tokens.select("question_id", "token", F.col("token").alias("term"))).distinct()

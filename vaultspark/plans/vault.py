@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vaultspark.functions import md
 from vaultspark.functions import sql as S
 from vaultspark.operators import compile as C
+from vaultspark.operators import hierarchy as H
 from vaultspark.operators import notes as N
 from vaultspark.operators import scan, views
 from vaultspark.session import table
@@ -107,6 +108,23 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
     return C.log_entries(lines)
 
 
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and titles of every hundredth note, with the subjects' descriptions as aliases of their codes."""
+    notes = table(spark, d, "vault_registry").filter("note_id % 100 = 0").select(F.col("note_id").alias("question_id"), F.concat_ws(" ", "question", "title", "category").alias("question"))
+    aliases = table(spark, d, "subjects").select(F.col("subject_code").alias("topic"), F.explode(F.concat(F.array("subject_code"), md.tokens(F.col("description")))).alias("alias"))
+    return N.expanded_aliases(notes, aliases)
+
+
+def _file_progress(spark: SparkSession, d: str) -> DataFrame:
+    raws = table(spark, d, "raw_sources")
+    status = F.when(F.col("content").isNull(), "error").when(F.col("removed_at").isNotNull(), "removed").when(F.col("source_hash").isNull(), "pending").otherwise("converted")
+    return raws.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    return H.parent_pairs(table(spark, d, "sections")).filter("parent_id is not null")
+
+
 _VIEW = {
     "filter": {"and": [{"field": "note_type", "operator": "in", "value": ["summary", "concept"]}, {"or": [{"field": "title", "operator": "contains", "value": "Ledger"}, {"field": "status", "operator": "is", "value": "draft"}]}, {"field": "category", "operator": "is-not-empty"}, {"field": "line_count", "operator": "is-greater-than", "value": 100}, {"field": "path", "operator": "does-not-contain", "value": "quarry"}]},
     "formulas": {"n_links": "size(outbound_links)", "age": "if(status = 'draft', 'open', 'done')"},
@@ -129,6 +147,11 @@ QUERIES: dict[str, Query] = {
     "category_index": _notes(N.category_index),
     "semantic_links": _mentions,
     "xref_links": _xref,
+    "homepage": _notes(N.homepage),
+    "parent_links": _parents,
+    "registry_children": _notes(N.children),
+    "alias_expand": _aliases,
+    "file_progress": _file_progress,
     "registry_notes": _notes(N.registry_notes),
     "registry_sources": _notes(N.page_sources),
     "registry_stats": _notes(N.registry_stats),
@@ -232,6 +255,18 @@ WITH t AS (SELECT note_id, '[[' || title || CASE WHEN note_id % 5 = 0 THEN '] [x
 SELECT * FROM (
   SELECT note_id, 'unbalanced_wikilink' AS violation, CAST(len(string_split(text, '[[')) <> len(string_split(text, ']]')) AS INTEGER) AS n FROM t WHERE text IS NOT NULL
   UNION ALL SELECT note_id, 'markdown_link', len(list_filter(regexp_extract_all(text, '\[[^\]]*\]\(([^)]+)\)', 1), lambda x: contains(x, '.md') AND NOT contains(x, '://'))) FROM t WHERE text IS NOT NULL) WHERE n > 0""",
+    "homepage": f"""
+WITH i AS (SELECT {S.category('path')} AS section, path, note_id, '- [[' || regexp_replace(path, '\\.md$', '') || ']]' || CASE WHEN coalesce(summary, '') <> '' THEN ': ' || left(summary, 180) ELSE '' END AS item FROM vault_registry),
+p AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY path, note_id) AS position FROM i)
+SELECT section, CAST(ceil(position / 500) AS INTEGER) AS page, count(*) AS n, string_agg(item, chr(10) ORDER BY position) AS body FROM p GROUP BY 1, 2""",
+    "parent_links": "SELECT s.section_id, min(t.section_id) AS parent_id FROM sections s JOIN sections t ON t.source_file = s.source_file AND t.stem = s.parent WHERE s.parent <> '' GROUP BY s.section_id",
+    "registry_children": "SELECT parent, count(*) AS n_children FROM vault_registry WHERE coalesce(parent, '') <> '' GROUP BY parent",
+    "alias_expand": f"""
+WITH q AS (SELECT note_id AS question_id, concat_ws(' ', question, title, category) AS question FROM vault_registry WHERE note_id % 100 = 0),
+t AS (SELECT DISTINCT question_id, unnest({S.tokens('question')}) AS token FROM q),
+a AS (SELECT DISTINCT subject_code AS topic, lower(unnest(list_concat([subject_code], {S.tokens('description')}))) AS alias FROM subjects)
+SELECT DISTINCT question_id, token, o.alias AS term FROM t JOIN a k ON k.alias = token JOIN a o ON o.topic = k.topic UNION SELECT question_id, token, token FROM t""",
+    "file_progress": "SELECT CASE WHEN content IS NULL THEN 'error' WHEN removed_at IS NOT NULL THEN 'removed' WHEN source_hash IS NULL THEN 'pending' ELSE 'converted' END AS status, count(*) AS n FROM raw_sources GROUP BY 1",
     "ingest_delta": """
 WITH b AS (SELECT path, max(raw_hash) AS old FROM raw_sources WHERE ingested_at < TIMESTAMP '2024-07-01' GROUP BY path), a AS (SELECT path, max(source_hash) AS new FROM raw_sources WHERE removed_at IS NULL GROUP BY path)
 SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'new' WHEN a.path IS NULL THEN 'removed' WHEN old = new THEN 'unchanged' ELSE 'changed' END AS change FROM b FULL JOIN a ON a.path = b.path""",
