@@ -31,9 +31,9 @@ HYPHENS = "-‐­¬"
 SOFT = "­¬"
 
 WORD = re.compile(r"[^\W_]+(?:[-‐'’­¬][^\W_]+)*")
-DIGITS = r"(?:\d|[OolI](?=\d)|(?<=\d)[OolI])+"
+DIGITS = r"(?=[OolI]*\d)[\dOolI]+"
 PAGE = re.compile(
-    rf"^\W*(?:(?:page|seite|pagina|página|pg|p|s)\b\.?\s*)?(?:{DIGITS}|[ivxlc]+|第\s*{DIGITS}\s*[頁页]|{DIGITS}\s*(?:of|von|de|/)\s*{DIGITS})\W*$", re.I
+    rf"^\W*(?:(?:page|seite|pagina|página|pg|p|s)\b\.?\s*)?(?:{DIGITS}|[ivxlc]+|第\s*{DIGITS}\s*[頁页]|{DIGITS}\s*(?:of|von|de|/)\s*{DIGITS})[^\w.,;:!?。，；：！？]*$", re.I
 )
 FIGURE = re.compile(r"^\s*\d+\s*$")
 NUMBERED = [
