@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.functions import md
+from vaultspark.operators.ordered import grouped_position
+from vaultspark.session import stage_table
 
 
 def ingest_delta(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -93,13 +95,11 @@ def log_entries(lines: DataFrame) -> DataFrame:
     A header of another shape has an empty stamp and operation. An entry's lines are found from the place of the next header, so
     only headers are ordered.
     """
-    from pyspark.sql import Window
-
     head = r"^## \[(.+?)\] ([^|]+)\| (.+)$"
-    heads = lines.filter("startswith(text, '## [')")
     ends = lines.groupBy("log").agg(F.max("line_no").alias("last_no"))
-    order = Window.partitionBy("log").orderBy("line_no")
-    placed = heads.withColumns({"seq": F.row_number().over(order), "next_no": F.lead("line_no").over(order)}).join(ends, "log")
+    heads = stage_table(grouped_position(lines.filter("startswith(text, '## [')").select("log", "line_no", "text"), ["log"], ["line_no"])).withColumnRenamed("position", "seq")
+    following = heads.select("log", (F.col("seq") - 1).alias("seq"), F.col("line_no").alias("next_no"))
+    placed = heads.join(following, ["log", "seq"], "left").join(ends, "log")
     well = F.col("text").rlike(head)
     part = lambda k: F.when(well, md.strip(F.regexp_extract("text", head, k))).otherwise("")
     title = F.when(well, part(3)).otherwise(md.strip(F.substr(F.col("text"), F.lit(4))))

@@ -9,9 +9,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaultspark.functions import md
+
 # Line shapes, relation and chart terms, confidence of each risk.
 HEADING = re.compile(r"^\s{0,3}#{1,6}\s+")
 NOISE = re.compile(r"^\s*(?:\d+|Page\s+\d+|第\s*\d+\s*页|[-_=]{2,}|[·•])\s*$")
@@ -96,14 +98,12 @@ def candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.filter(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, {FOUND}")
 
 
-def normalised(excerpt) -> F.Column:  # noqa: ANN001
+def normalised(excerpt: Column) -> Column:
     """An excerpt's lines trimmed, blank ones left out."""
-    from vaultspark.functions import md
-
     return F.array_join(F.filter(F.transform(md.lines(excerpt), lambda x: md.strip(x)), lambda x: x != ""), "\n")
 
 
 def deduplicated(found: DataFrame, key: list[str]) -> DataFrame:
     """One candidate for each key (path, risk, normalised excerpt): highest confidence, then earliest."""
-    order = Window.partitionBy(*key).orderBy(F.desc("confidence"), "start_line", "candidate_id")
-    return found.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+    best = F.min_by(F.struct(*[c for c in found.columns if c not in key]), F.struct(-F.col("confidence"), F.col("start_line"), F.col("candidate_id")))
+    return found.groupBy(*key).agg(best.alias("_b")).select(*key, "_b.*")
