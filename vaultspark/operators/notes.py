@@ -134,8 +134,10 @@ def page_sources(notes: DataFrame) -> DataFrame:
 def registry_stats(notes: DataFrame) -> DataFrame:
     """One row: n_notes, n_links, n_categories, n_sources."""
     links = F.coalesce(F.sum(F.size("outbound_links")), F.lit(0)).alias("n_links")
-    one = notes.agg(F.count("*").alias("n_notes"), links, F.count_distinct(F.nullif("category", F.lit(""))).alias("n_categories"))
-    return one.crossJoin(page_sources(notes).agg(F.count_distinct("source").alias("n_sources")))  # one row each
+    own = notes.agg(F.count("*").alias("n_notes"), links, F.count_distinct(F.nullif("category", F.lit(""))).alias("n_categories"))
+    sources = page_sources(notes).agg(F.count_distinct("source").alias("n_sources"))
+    both = own.unionByName(sources, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("n_notes", "n_links", "n_categories", "n_sources")])
 
 
 def missing_metadata(notes: DataFrame) -> DataFrame:
