@@ -43,6 +43,9 @@ NUMBERED = [
 ]
 #: Shapes that confusable letters have in common; both sides of a comparison are put through it.
 SHAPES = {"d": "el", "n": "rl", "m": "rrl", "u": "ll", "w": "vv", "i": "l", "1": "l", "0": "o", "5": "s", "9": "g", "6": "h", "b": "h", "8": "h", "c": "e", "f": "t", "г": "r", "а": "a", "е": "e", "о": "o", "р": "p", "с": "e"}
+#: Small words as their shapes, and lines whose letters stand apart.
+SMALL_WORDS = ["of", "the", "on", "and", "a", "an", "in", "von", "der", "die", "das", "und", "de", "la", "el", "y", "los", "las"]
+SPACED = re.compile(r"^(?:\S )+\S(?:\s{2,}(?:\S )*\S)*$")
 LINES = "heads array<int>, pages array<int>, words array<struct<line:int,word:string,other:int,cut:int>>, hyphens array<struct<line:int,mark:string,stem:string,next:string,other:int>>"
 
 
@@ -52,12 +55,24 @@ def shape(text: str) -> str:
     return "".join(SHAPES.get(c, c) for c in plain if c.isalnum())
 
 
+SMALL = {shape(w) for w in SMALL_WORDS} | {""}
+
+
+def essence(text: str) -> str:
+    """The shape of a text without its small words, which slugs leave out; letters set apart are put together first. Marked, to tell it from a whole shape."""
+    if SPACED.match(text.strip()):
+        text = re.sub(r"(?<=\S) (?=\S)", "", text.strip())
+    words = [shape(w) for w in re.split(r"[\s\-_]+", text)]
+    return "~" + "".join(w for w in words if w not in SMALL)
+
+
 def title_shapes(candidate_id: str | None, heading: str | None, book_title: str | None) -> set[str]:
     """Shapes of the titles of a candidate's book and chapter; the slugs of its path stand in for those that aren't known."""
     parts = (candidate_id or "").split(".md:")[0].split("/")
     chapter = re.sub(r"^\d+-", "", parts[-1]) if len(parts) > 1 else ""
     book = parts[1] if len(parts) > 2 else ""
-    return {shape(t) for t in (heading, chapter, book_title, book) if t} - {""}
+    slugs = {essence(t) for t in (chapter, book) if t} - {"~"}
+    return ({shape(t) for t in (heading, chapter, book_title, book) if t} - {""}) | slugs
 
 
 def is_header(line: str, titles: set[str]) -> bool:
@@ -65,7 +80,8 @@ def is_header(line: str, titles: set[str]) -> bool:
     line = line.strip()
     if not line or line[0] == "#" or len(line) > 300:
         return False
-    return shape(line) in titles or any(shape(cut) in titles for n in NUMBERED if (cut := n.sub("", line, count=1)) and cut != line)
+    forms = [line, *(cut for n in NUMBERED if (cut := n.sub("", line, count=1)) and cut != line)]
+    return any(shape(f) in titles or essence(f) in titles for f in forms)
 
 
 def analyse(text: str, titles: set[str]) -> tuple[list[int], list[int], list[tuple], list[tuple]]:
