@@ -113,9 +113,9 @@ def _answers(mode: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     notes = table(spark, d, "vault_registry").filter("question is not null")
-    keyed = notes.select(md.query_slug(F.col("question")).alias("slug"), F.left(F.sha1(F.coalesce("summary", F.lit(""))), F.lit(12)).alias("hash"), "note_id")
+    keyed = notes.select(md.query_slug(F.col("question")).alias("slug"), F.left(F.sha1(F.coalesce("summary", F.lit(""))), F.lit(12)).alias("hash"), "note_id", "mtime")
     filed = keyed.groupBy("slug").agg(F.max_by("hash", "note_id").alias("hash"))
-    latest = keyed.filter("note_id % 2 = 0").groupBy("slug").agg(F.count("*").cast("int").alias("version"), F.min_by("hash", "note_id").alias("hash"))
+    latest = keyed.filter("mtime < timestamp_ntz'2024-07-01 00:00:00'").groupBy("slug").agg(F.count("*").cast("int").alias("version"), F.min_by("hash", "note_id").alias("hash"))
     return rank.versioned(filed, latest)
 
 
@@ -216,8 +216,8 @@ SELECT q.question_id, CASE WHEN max(place) IS NULL THEN '# ' || question || chr(
   string_agg('### [[' || doc_id || ']] ' || title, chr(10) ORDER BY place) || chr(10) || '## Cited' || chr(10) || string_agg('- [[' || doc_id || ']]', chr(10) ORDER BY place) END AS body
 FROM q LEFT JOIN full_ f USING (question_id) LEFT JOIN first3 USING (question_id) WHERE question IS NOT NULL GROUP BY q.question_id, question""",
     "query_versions": f"""
-WITH keyed AS (SELECT {S.query_slug('question')} AS slug, left(sha1(coalesce(summary, '')), 12) AS hash, note_id FROM vault_registry WHERE question IS NOT NULL),
-f AS (SELECT slug, arg_max(hash, note_id) AS hash FROM keyed GROUP BY slug), l AS (SELECT slug, count(*) AS version, arg_min(hash, note_id) AS hash FROM keyed WHERE note_id % 2 = 0 GROUP BY slug)
+WITH keyed AS (SELECT {S.query_slug('question')} AS slug, left(sha1(coalesce(summary, '')), 12) AS hash, note_id, mtime FROM vault_registry WHERE question IS NOT NULL),
+f AS (SELECT slug, arg_max(hash, note_id) AS hash FROM keyed GROUP BY slug), l AS (SELECT slug, count(*) AS version, arg_min(hash, note_id) AS hash FROM keyed WHERE mtime < TIMESTAMP '2024-07-01' GROUP BY slug)
 SELECT f.slug, CAST(coalesce(version, 0) + CASE WHEN l.hash = f.hash THEN 0 ELSE 1 END AS INTEGER) AS version, CASE WHEN l.slug IS NULL THEN 'created' WHEN l.hash = f.hash THEN 'merged' ELSE 'versioned' END AS action FROM f LEFT JOIN l ON l.slug = f.slug""",
     "boundaries": f"WITH RECURSIVE {_BOUNDS} SELECT doc_id, line, type, title FROM bounds",
     "absorb_sections": f"WITH RECURSIVE {_BOUNDS} SELECT doc_id, line, type FROM fold WHERE kept",

@@ -109,8 +109,8 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
-    """Questions and titles of every hundredth note, with the subjects' descriptions as aliases of their codes."""
-    notes = table(spark, d, "vault_registry").filter("note_id % 100 = 0").select(F.col("note_id").alias("question_id"), F.concat_ws(" ", "question", "title", "category").alias("question"))
+    """Questions, titles and categories of all notes, with the words of the subjects' descriptions as aliases of their codes."""
+    notes = table(spark, d, "vault_registry").select(F.col("note_id").alias("question_id"), F.concat_ws(" ", "question", "title", "category").alias("question"))
     aliases = table(spark, d, "subjects").select(F.col("subject_code").alias("topic"), F.explode(F.concat(F.array("subject_code"), md.tokens(F.col("description")))).alias("alias"))
     return N.expanded_aliases(notes, aliases)
 
@@ -262,7 +262,7 @@ SELECT section, CAST(ceil(position / 500) AS INTEGER) AS page, count(*) AS n, st
     "parent_links": "SELECT s.section_id, min(t.section_id) AS parent_id FROM sections s JOIN sections t ON t.source_file = s.source_file AND t.stem = s.parent WHERE s.parent <> '' GROUP BY s.section_id",
     "registry_children": "SELECT parent, count(*) AS n_children FROM vault_registry WHERE coalesce(parent, '') <> '' GROUP BY parent",
     "alias_expand": f"""
-WITH q AS (SELECT note_id AS question_id, concat_ws(' ', question, title, category) AS question FROM vault_registry WHERE note_id % 100 = 0),
+WITH q AS (SELECT note_id AS question_id, concat_ws(' ', question, title, category) AS question FROM vault_registry),
 t AS (SELECT DISTINCT question_id, unnest({S.tokens('question')}) AS token FROM q),
 a AS (SELECT DISTINCT subject_code AS topic, lower(unnest(list_concat([subject_code], {S.tokens('description')}))) AS alias FROM subjects)
 SELECT DISTINCT question_id, token, o.alias AS term FROM t JOIN a k ON k.alias = token JOIN a o ON o.topic = k.topic UNION SELECT question_id, token, token FROM t""",
