@@ -46,7 +46,7 @@ SHAPES = {"d": "el", "n": "rl", "m": "rrl", "u": "ll", "w": "vv", "i": "l", "1":
 #: Small words as their shapes, and lines whose letters stand apart.
 SMALL_WORDS = ["of", "the", "on", "and", "a", "an", "in", "von", "der", "die", "das", "und", "de", "la", "el", "y", "los", "las"]
 SPACED = re.compile(r"^(?:\S )+\S(?:\s{2,}(?:\S )*\S)*$")
-LINES = "heads array<int>, pages array<int>, words array<struct<line:int,word:string,other:int,cut:int>>, hyphens array<struct<line:int,mark:string,stem:string,next:string,other:int>>"
+LINES = "heads array<int>, pages array<int>, words array<struct<line:int,text:string>>, hyphens array<struct<line:int,mark:string,stem:string,next:string,other:int>>"
 
 
 def shape(text: str) -> str:
@@ -75,49 +75,56 @@ def title_shapes(candidate_id: str | None, heading: str | None, book_title: str
     return ({shape(t) for t in (heading, chapter, book_title, book) if t} - {""}) | slugs
 
 
-def is_header(line: str, titles: set[str]) -> bool:
-    """Whether a line is one of the titles in any dress, with or without a page number. A Markdown heading is none."""
+def is_header(line: str, titles: set[str], longest: int = 300) -> bool:
+    """Whether a line is one of the titles in any dress, with or without a page number. A Markdown heading is none.
+
+    longest: length of the longest shape, which no title's own text exceeds; lines far above it are no titles.
+    """
     line = line.strip()
-    if not line or line[0] == "#" or len(line) > 300:
+    if not line or line[0] == "#" or len(line) > 300 or len(line.replace(" ", "")) > longest + 16:
         return False
     forms = [line, *(cut for n in NUMBERED if (cut := n.sub("", line, count=1)) and cut != line)]
     return any(shape(f) in titles or essence(f) in titles for f in forms)
 
 
 def analyse(text: str, titles: set[str]) -> tuple[list[int], list[int], list[tuple], list[tuple]]:
-    """(header lines, page number lines, words, possible hyphens) of one excerpt; lines count from 1.
+    """(header lines, page number lines, words of each other line, possible hyphens) of one excerpt; lines count from 1.
 
     A figure is a page number unless the line before or after it is a figure too, or the one before announces a list.
-    A word divided at a line's end is given whole, with the line of its rest and the place of its division.
+    A line's words are given as one text; a word divided at its end stands among the hyphens, with the line of its rest.
     """
     lines = text.split("\n")
-    heads = [k for k, line in enumerate(lines, 1) if is_header(line, titles)]
+    longest = max(map(len, titles), default=0)
+    heads = [k for k, line in enumerate(lines, 1) if titles and is_header(line, titles, longest)]
     noise = set(heads)
     pages = []
     for k, line in enumerate(lines, 1):
-        if k in noise or not line.strip() or not PAGE.match(line.strip()):
+        bare = line.strip()
+        if not bare or len(bare) > 40 or k in noise or not PAGE.match(bare):
             continue
         around = [lines[j - 1] for j in (k - 1, k + 1) if 1 <= j <= len(lines)]
         if FIGURE.match(line) and (any(FIGURE.match(x) for x in around) or (k > 1 and lines[k - 2].rstrip().endswith((":", "：")))):
             continue
         pages.append(k)
     noise.update(pages)
-    words, hyphens, skip = [], [], {}
-    found = {k: list(WORD.finditer(line)) for k, line in enumerate(lines, 1) if k not in noise}
-    kept = [k for k in found if lines[k - 1].strip()]
-    after = dict(zip(kept, kept[1:]))
-    for k in kept:
+    words, hyphens = [], []
+    found = {k: WORD.findall(line) for k, line in enumerate(lines, 1) if k not in noise and line.strip()}
+    after = dict(zip(found, list(found)[1:]))
+    first = dict.fromkeys(found, 0)
+    last = {k: len(w) for k, w in found.items()}
+    for k, own in found.items():
         line = lines[k - 1].rstrip()
-        if line[-1] in HYPHENS and found[k] and found[k][-1].end() == len(line) - 1:
-            stem, n = found[k][-1].group(), after.get(k, 0)
-            rest = found[n][0].group() if n and found[n] and not lines[n - 1][: found[n][0].start()].strip() else ""
-            hyphens.append((k, line[-1], stem.lower(), rest.lower(), n))
-            skip[k, len(found[k]) - 1] = True
+        if line[-1] in HYPHENS and own and line[:-1].endswith(own[-1]):
+            n = after.get(k, 0)
+            rest = found[n][0] if n and found[n] and lines[n - 1].lstrip().startswith(found[n][0]) else ""
+            hyphens.append((k, line[-1], own[-1].lower(), rest.lower(), n))
+            last[k] -= 1
             if rest:
-                skip[n, 0] = True
-                words.append((k, (stem + rest).lower(), n, len(stem)))
-    for k in kept:
-        words += [(k, m.group().lower(), None, None) for j, m in enumerate(found[k]) if (k, j) not in skip]
+                first[n] = 1
+    for k, own in found.items():
+        kept = own[first[k] : last[k]]
+        if kept:
+            words.append((k, " ".join(kept).lower()))
     return heads, pages, words, hyphens
 
 
@@ -190,8 +197,12 @@ class Evidence:
         self.texts = texts
         columns = texts.select("candidate_id", "queue_pos", "text", "heading", "book_title")
         self.read = stage_table(columns.mapInPandas(_read, f"candidate_id string, queue_pos bigint, {LINES}"))
-        self.words = self.read.select("candidate_id", "queue_pos", F.explode("words").alias("w")).select("candidate_id", "queue_pos", "w.*")
-        self.hyphens = self.read.select("candidate_id", "queue_pos", F.explode("hyphens").alias("h")).select("candidate_id", "queue_pos", "h.*")
+        key = ["candidate_id", "queue_pos"]
+        self.hyphens = self.read.select(*key, F.explode("hyphens").alias("h")).select(*key, "h.*")
+        none = F.lit(None).cast("int")
+        whole = self.read.select(*key, F.explode("words").alias("w")).select(*key, F.col("w.line").alias("line"), F.explode(F.split("w.text", " ")).alias("word"), none.alias("other"), none.alias("cut"))
+        parted = self.hyphens.filter("next <> ''").select(*key, "line", F.concat("stem", "next").alias("word"), "other", F.length("stem").alias("cut"))
+        self.words = whole.unionByName(parted)
         vocabulary = self.words.filter("other is null").groupBy("word").agg(F.count("*").alias("n"))
         self.vocabulary = stage_table(vocabulary.filter(~F.col("word").rlike(r"[\x{2e80}-\x{d7ff}]")))
         divided = self.words.filter("other is not null").select("word").distinct()
