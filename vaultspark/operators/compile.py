@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import md
 from vaultspark.operators.ordered import grouped_position
-from vaultspark.session import stage_table
+from vaultspark.session import spread, stage_table
 
 
 def ingest_delta(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def concepts(notes: DataFrame) -> DataFrame:
     everywhere.
     """
     heads = F.coalesce("headings", F.array().cast("array<string>"))
-    each = notes.filter("title is not null").select("note_id", F.posexplode(md.concept_candidates(F.col("title"), heads)).alias("place", "candidate"))
+    each = spread(notes.select("note_id", "title", "headings")).filter("title is not null").select("note_id", F.posexplode(md.concept_candidates(F.col("title"), heads)).alias("place", "candidate"))
     keyed = each.withColumn("key", md.slug(F.col("candidate")))
     return keyed.groupBy("key").agg(F.min_by("candidate", F.struct("note_id", "place")).alias("title"), F.count_distinct("candidate").alias("n_aliases"), F.count_distinct("note_id").alias("n_sources"))
 
@@ -40,7 +40,7 @@ def concepts(notes: DataFrame) -> DataFrame:
 def concept_sources(notes: DataFrame) -> DataFrame:
     """key, note_id: every concept with the notes it comes from."""
     heads = F.coalesce("headings", F.array().cast("array<string>"))
-    return notes.filter("title is not null").select(F.explode(md.concept_candidates(F.col("title"), heads)).alias("candidate"), "note_id").select(md.slug(F.col("candidate")).alias("key"), "note_id").distinct()
+    return spread(notes.select("note_id", "title", "headings")).filter("title is not null").select(F.explode(md.concept_candidates(F.col("title"), heads)).alias("candidate"), "note_id").select(md.slug(F.col("candidate")).alias("key"), "note_id").distinct()
 
 
 def summary_pages(sources: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def summary_pages(sources: DataFrame) -> DataFrame:
     name = md.stem(F.col("path"))
     front = md.front_matter_text([("type", F.lit("summary")), ("title", md.title(F.col("text"), name)), ("source_path", F.col("path")), ("source_hash", F.col("hash"))])
     content = F.concat_ws("\n", front, F.lit(""), F.concat(F.lit("# "), md.title(F.col("text"), name)), F.lit(""), md.first_paragraphs(F.col("text")), F.lit(""))
-    return sources.filter("text is not null").select(F.concat(F.lit("wiki/summaries/"), md.path_slug(F.col("path")), F.lit(".md")).alias("path"), content.alias("content"))
+    return spread(sources).filter("text is not null").select(F.concat(F.lit("wiki/summaries/"), md.path_slug(F.col("path")), F.lit(".md")).alias("path"), content.alias("content"))
 
 
 def book_progress(books: DataFrame) -> DataFrame:

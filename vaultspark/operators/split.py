@@ -5,10 +5,13 @@ A text's lines stay in its row: boundaries, the order-dependent fold and the sec
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.functions import md
+from vaultspark.session import spread
 
 # Patterns of boundary lines in the order they are tried, with the type of what they begin.
 PATTERNS = [
@@ -36,11 +39,21 @@ def kind(line: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: as the variable of a transform over one element."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+def boundary_array(lines: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
+    """(line from 0, type, title) of the boundary lines."""
+    marked = F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("#")), F.struct(i.alias("line"), kind(x, patterns).alias("type"), md.strip(F.regexp_replace(x, r"^#+\s*", "")).alias("title"))))
+    return F.filter(marked, lambda b: b["type"].isNotNull())
+
+
 def with_boundaries(texts: DataFrame, key: str, text: str, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
-    """key, lines, boundaries (line from 0, type, title)."""
-    lined = texts.filter(F.col(text).isNotNull()).select(key, md.lines(F.col(text)).alias("lines"))
-    marked = F.transform("lines", lambda x, i: F.when(F.startswith(x, F.lit("#")), F.struct(i.alias("line"), kind(x, patterns).alias("type"), md.strip(F.regexp_replace(x, r"^#+\s*", "")).alias("title"))))
-    return lined.withColumn("boundaries", F.filter(marked, lambda b: b["type"].isNotNull()))
+    """key, boundaries of every text that isn't null."""
+    rows = spread(texts.select(key, text)).filter(F.col(text).isNotNull())
+    return rows.select(key, let(md.lines(F.col(text)), lambda lines: boundary_array(lines, patterns)).alias("boundaries"))
 
 
 def boundaries(texts: DataFrame, key: str, text: str, patterns: list[tuple[str, str]] = PATTERNS) -> DataFrame:
@@ -58,20 +71,28 @@ def chapters(texts: DataFrame, key: str, text: str, min_lines: int = MIN_LINES,
 
     Texts without boundaries aren't split and have no rows.
     """
-    kept = with_boundaries(texts, key, text, patterns).filter(F.size("boundaries") > 0).withColumn("kept", absorb(F.col("boundaries"), min_lines))
     before = F.struct(F.lit(0).alias("line"), F.lit("preamble").alias("type"), F.lit("preamble").alias("title"))
-    kept = kept.withColumn("kept", F.when(F.try_element_at("kept", F.lit(1))["line"] > 0, F.concat(F.array(before), F.col("kept"))).otherwise(F.col("kept")))
-    section = kept.select(key, "lines", F.col("kept"), F.posexplode("kept").alias("place", "b"))
-    end = F.coalesce(F.try_element_at("kept", F.col("place") + 2)["line"], F.size("lines"))
-    seq = F.when(F.col("place") < 99, F.lpad((F.col("place") + 1).cast("string"), 2, "0")).otherwise((F.col("place") + 1).cast("string"))
-    return section.select(
-        key, seq.alias("seq"), F.col("b.line").alias("first_line"), end.alias("end_line"), "b.type", "b.title", F.array_join(F.slice("lines", F.col("b.line") + 1, end - F.col("b.line")), "\n").alias("body")
-    )
+
+    def led(kept: Column) -> Column:
+        return F.when(F.try_element_at(kept, F.lit(1))["line"] > 0, F.concat(F.array(before), kept)).otherwise(kept)
+
+    def section(lines: Column, starts: Column) -> Column:
+        def one(b: Column, i: Column) -> Column:
+            end = F.coalesce(F.try_element_at(starts, i + 2)["line"], F.size(lines))
+            seq = F.when(i < 99, F.lpad((i + 1).cast("string"), 2, "0")).otherwise((i + 1).cast("string"))
+            body = F.array_join(F.slice(lines, b["line"] + 1, end - b["line"]), "\n")
+            return F.struct(seq.alias("seq"), b["line"].alias("first_line"), end.alias("end_line"), b["type"].alias("type"), b["title"].alias("title"), body.alias("body"))
+
+        return F.transform(starts, lambda b, i: one(b, i))
+
+    cut = let(md.lines(F.col(text)), lambda lines: let(boundary_array(lines, patterns), lambda found: let(led(absorb(found, min_lines)), lambda starts: section(lines, starts))))
+    rows = spread(texts.select(key, text)).filter(F.col(text).isNotNull())
+    return rows.select(key, F.explode(cut).alias("s")).select(key, "s.*")
 
 
 def pattern_set(texts: DataFrame, key: str, text: str, n_lines: int = 100) -> DataFrame:
     """key, pattern_set: the set with most matches in the first lines, ties by name; texts without a match have no row."""
-    lined = texts.filter(F.col(text).isNotNull()).select(key, F.slice(md.lines(F.col(text)), 1, n_lines).alias("lines"))
+    lined = spread(texts).filter(F.col(text).isNotNull()).select(key, F.slice(md.lines(F.col(text)), 1, n_lines).alias("lines"))
     chosen = {name: [(r, t) for r, t in PATTERNS if t in types] for name, types in PATTERN_SETS.items()}
 
     def matches(patterns: list[tuple[str, str]]) -> Column:

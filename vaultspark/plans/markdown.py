@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import md
 from vaultspark.functions import sql as S
-from vaultspark.session import table
+from vaultspark.session import spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("text is not null")
+    return spread(table(spark, d, "documents").select("doc_id", "text")).filter("text is not null")
 
 
 def _column(**columns: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
@@ -50,7 +50,7 @@ def _slugs(spark: SparkSession, d: str) -> DataFrame:
 
 def _concepts(spark: SparkSession, d: str) -> DataFrame:
     heads = F.coalesce("headings", F.array().cast("array<string>"))
-    return table(spark, d, "vault_registry").filter("title is not null").select("note_id", F.array_join(md.concept_candidates(F.col("title"), heads), "\n").alias("candidates"))
+    return spread(table(spark, d, "vault_registry").select("note_id", "title", "headings")).filter("title is not null").select("note_id", F.array_join(md.concept_candidates(F.col("title"), heads), "\n").alias("candidates"))
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
