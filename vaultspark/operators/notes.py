@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultspark.functions import md
@@ -199,10 +199,14 @@ def contract_violations(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.filter(t.isNotNull()).select(key, each).select(key, "v.*").filter("n > 0")
 
 
+def homepage_item() -> Column:
+    """A note's line of the homepage: its path as a link, with the beginning of its summary."""
+    return F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("]]"), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), F.left("summary", F.lit(180)))).otherwise(""))
+
+
 def homepage(notes: DataFrame, entries: int = PAGE_ENTRIES) -> DataFrame:
     """section (first folder), page, n, body: all notes by path as list items with the beginning of their summaries, in pages of bounded length."""
-    item = F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("]]"), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), F.left("summary", F.lit(180)))).otherwise(""))
-    rows = notes.filter("path is not null").select(md.category(F.col("path")).alias("section"), "path", "note_id", item.alias("item"))
+    rows = notes.filter("path is not null").select(md.category(F.col("path")).alias("section"), "path", "note_id", homepage_item().alias("item"))
     placed = grouped_position(rows, ["section"], ["path", "note_id"]).withColumn("page", F.ceil(F.col("position") / entries).cast("int"))
     pages = placed.groupBy("section", "page").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
     return pages.select("section", "page", "n", F.array_join(F.transform("items", lambda x: x["item"]), "\n").alias("body"))

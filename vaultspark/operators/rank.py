@@ -15,6 +15,10 @@ from vaultspark.session import spread, stage_table
 
 #: Questions scored in one pass over the pages.
 QUESTION_BLOCK = 1000
+#: Names of pages that one pass over the index looks for.
+NAME_BLOCK = 100_000
+#: Columns of a registry entry, by the names they have in it.
+ENTRY_FIELDS = {c: c for c in ("title", "path", "line_count", "headings", "outbound_links", "inbound_links", "summary", "source_file", "category", "parent", "status", "tags", "chapter", "source_path", "question")} | {"file_format": "format", "note_type": "type"}
 TOKEN = re.compile(r"\w+")
 HITS = "question_id bigint, doc_id bigint, score bigint"
 
@@ -23,17 +27,24 @@ def question_tokens(question: str) -> list[str]:
     return sorted({t for t in TOKEN.findall(question.lower()) if len(t) >= 2})
 
 
-def ranked(questions: DataFrame, pages: DataFrame, limit: int = 5) -> DataFrame:
+def ranked(questions: DataFrame, pages: DataFrame, limit: int = 5, hints: DataFrame | None = None) -> DataFrame:
     """question_id, doc_id, score, place: the best pages (doc_id, text) of each question (question_id, question) by occurrences of its tokens.
 
     Questions are a stated set, taken in blocks. One automaton counts a block's tokens in each page; a task keeps the best `limit`
     pages of each question, so what is moved is bounded by tasks times questions. Ties go to the lesser doc_id; pages with score 0
     and null texts are no hits; a null question has none.
+
+    hints (doc_id, bonus, entry; one row a page) add to every page's score before any is left out: bonus for each question, and one
+    for each of its tokens that occurs in entry, the page's registry entry. A page may be a hit by its hints alone.
     """
     import ahocorasick
 
+    if hints is None:
+        pages = pages.withColumns({"bonus": F.lit(0), "entry": F.lit(None).cast("string")})
+    else:
+        pages = spread(pages).drop("bonus", "entry").join(hints.select("doc_id", "bonus", "entry"), "doc_id", "left")
     asked = stage_table(questions.filter("question is not null and question_id is not null").select(F.col("question_id").cast("bigint"), "question").distinct())
-    texts = spread(pages).filter("text is not null").select(F.col("doc_id").cast("bigint"), F.lower("text").alias("text"))
+    texts = (spread(pages) if hints is None else pages).filter("text is not null").select(F.col("doc_id").cast("bigint"), F.lower("text").alias("text"), F.coalesce("bonus", F.lit(0)).cast("bigint").alias("bonus"), F.lower("entry").alias("entry"))
     n_blocks = -(-asked.count() // QUESTION_BLOCK)
     out = pages.sparkSession.createDataFrame([], HITS)
     for b in range(n_blocks):
@@ -62,7 +73,10 @@ def ranked(questions: DataFrame, pages: DataFrame, limit: int = 5) -> DataFrame:
                             if end - lengths[k] >= free.get(k, -1):  # no overlaps with itself
                                 counts[row, k] += 1
                                 free[k] = end
-                    scores = counts @ weight
+                    scores = counts @ weight + part["bonus"].to_numpy()[:, None]
+                    for row, entry in enumerate(part["entry"]):
+                        if isinstance(entry, str) and words:
+                            scores[row] += weight[sorted({k for _, k in automaton.iter(entry)})].sum(axis=0)
                     docs = part["doc_id"].to_numpy()
                     for q in range(len(block)):
                         hit = scores[:, q] > 0
@@ -76,11 +90,33 @@ def ranked(questions: DataFrame, pages: DataFrame, limit: int = 5) -> DataFrame:
     return out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
 
 
-def hinted(hits: DataFrame, hints: DataFrame) -> DataFrame:
-    """hits with the bonus of hints (doc_id, bonus) added and places anew; pages without a hint keep their score."""
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
-    scored = hits.drop("place").join(hints.groupBy("doc_id").agg(F.sum("bonus").alias("bonus")), "doc_id", "left")
-    return scored.select("question_id", "doc_id", (F.col("score") + F.coalesce("bonus", F.lit(0))).alias("score")).withColumn("place", F.row_number().over(order))
+def registry_entries(notes: DataFrame) -> DataFrame:
+    """page, entry: the registry's entry of each page of the vault, as JSON text; of rows of one path the greatest note_id holds."""
+    fields = [F.col(c).alias(ENTRY_FIELDS[c]) for c in notes.columns if c in ENTRY_FIELDS]
+    each = notes.filter("path is not null").select(F.concat(F.lit("wiki/"), "path").alias("page"), "note_id", F.to_json(F.struct(*fields)).alias("entry"))
+    return each.groupBy("page").agg(F.max_by("entry", "note_id").alias("entry"))
+
+
+def mentioned(names: DataFrame, lines: DataFrame, block: int = NAME_BLOCK) -> DataFrame:
+    """name of names that occur in a line (text) of the index, each once, found by one automaton for each block of names."""
+    import ahocorasick
+
+    wanted = stage_table(names.filter("name <> ''").select("name").distinct())
+    n_blocks = -(-wanted.count() // block)
+    out = names.sparkSession.createDataFrame([], "name string")
+    for b in range(n_blocks):
+        part = [r.name for r in wanted.filter(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == b).collect()]
+
+        def run(batches: Iterator[pd.DataFrame], part: list[str] = part) -> Iterator[pd.DataFrame]:
+            automaton = ahocorasick.Automaton()
+            for name in part:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            for batch in batches:
+                yield pd.DataFrame({"name": sorted({n for x in batch["text"] for _, n in automaton.iter(x)} if part else ())}, dtype=object)
+
+        out = out.unionByName(lines.filter("text is not null").select("text").mapInPandas(run, "name string"))
+    return out.distinct()
 
 
 def answers(questions: DataFrame, hits: DataFrame, pages: DataFrame, mode: str = "scaffold") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vaultspark.functions import md
 from vaultspark.functions import sql as S
 from vaultspark.operators import layout, patch, rank, split
+from vaultspark.operators import notes as N
 from vaultspark.session import table
 
 MIN_LINES = 4
@@ -102,9 +103,18 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     return rank.ranked(_questions(spark, d), _docs(spark, d))
 
 
+def _hints(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, bonus, entry: points by page type, one for pages the index mentions, and the registry's entry."""
+    docs, notes = _docs(spark, d), table(spark, d, "vault_registry")
+    typed = F.when(F.col("page_type") == "concept", 2).when(F.col("page_type") == "index", 1).otherwise(0)
+    pages = docs.select("doc_id", F.col("path").alias("page"), F.replace(F.regexp_replace("path", "^wiki/", ""), F.lit(".md"), F.lit("")).alias("name"), typed.alias("typed"))
+    named = rank.mentioned(pages.filter("page <> 'wiki/index.md'"), notes.select(N.homepage_item().alias("text"))).withColumn("named", F.lit(1))
+    known = pages.join(named, "name", "left").join(rank.registry_entries(notes), "page", "left")
+    return known.select("doc_id", (F.col("typed") + F.coalesce("named", F.lit(0))).alias("bonus"), "entry").filter("bonus > 0 or entry is not null")
+
+
 def _hinted(spark: SparkSession, d: str) -> DataFrame:
-    hints = _docs(spark, d).select("doc_id", F.when(F.col("page_type") == "concept", 2).when(F.col("page_type") == "index", 1).otherwise(0).alias("bonus")).filter("bonus > 0")
-    return rank.hinted(_ranked(spark, d), hints)
+    return rank.ranked(_questions(spark, d), _docs(spark, d), hints=_hints(spark, d))
 
 
 def _answers(mode: str) -> Callable[[SparkSession, str], DataFrame]:
