@@ -1,7 +1,10 @@
 """Whole results where a query used to stop short."""
 
 import json
+import random
 
+from tests.test_hierarchy import ROWS, table
+from vaultspark.operators import hierarchy as H
 from vaultspark.operators import rank
 
 
@@ -27,3 +30,15 @@ def test_index_mentions_and_registry_entries(spark):
     assert {r.name for r in rank.mentioned(names, lines, block=1).collect()} == {"a/b", "b"}
     notes = spark.createDataFrame([(1, "p.md", "Old"), (2, "p.md", "New"), (3, None, "x")], "note_id bigint, path string, title string")
     assert [(r.page, json.loads(r.entry)) for r in rank.registry_entries(notes).collect()] == [("wiki/p.md", {"path": "p.md", "title": "New"})]
+
+
+def looped_rows():
+    random.seed(9)
+    tails = [(i + 100, "hot", f"s{i}", f"s{random.randint(0, i - 1) if i > 5 else (i + 1) % 6}") for i in range(60)]
+    return tails + [(i + 300, "hot", f"t{i}", f"t{i - 1}" if i else None) for i in range(30)] + ROWS
+
+
+def test_paths_of_loops_are_the_same_in_large_files(spark):
+    columns = ("root_id", "depth", "path", "n_descendants", "is_back_edge", "parent_id")
+    low, high = ({r.section_id: tuple(r[c] for c in columns) for r in H.hierarchy(table(spark, looped_rows()), max_group=m).collect()} for m in (20, 10_000))
+    assert low == high and low[100][1] == -1 and low[100][3] == 59 and any(len(r[2]) > 6 for r in low.values() if r[1] == -2)

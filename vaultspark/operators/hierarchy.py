@@ -197,7 +197,7 @@ def _walk(paths: bool):
 def _doubled(nodes: DataFrame) -> DataFrame:
     """Rows as from the walk for components too large for one task: paths by doubling, descendants counted from the paths.
 
-    nodes: section_id, parent_id, component, depth. Loops of that size get paths of their own node only.
+    nodes: section_id, parent_id, component, depth.
     """
     state = stage_table(nodes.select("section_id", "component", "parent_id", "depth", F.coalesce("parent_id", "section_id").alias("up"), F.array("section_id").alias("path"), (F.col("parent_id").isNull() | F.col("depth").isNull()).alias("settled")))
     while state.filter("not settled").limit(1).count():
@@ -245,7 +245,10 @@ def _distributed(rows: DataFrame) -> DataFrame:
 
 
 def _large(nodes: DataFrame) -> DataFrame:
-    """Components above the limit: trees by doubling; of loops the ring is marked by its members' own images."""
+    """Components above the limit, by doubling. A loop is cut at the link of its least node, which makes its component a tree.
+
+    The ring's nodes are marked by their own images; each has all others of its component as descendants.
+    """
     trees = _doubled(nodes.filter("depth is not null"))
     loops = nodes.filter("depth is null")
     if not loops.limit(1).count():
@@ -255,11 +258,16 @@ def _large(nodes: DataFrame) -> DataFrame:
     while (image := far.select("up").distinct().count()) != size:
         size, far = image, _jump(far)
     ring = stage_table(far.select(F.col("up").alias("section_id")).distinct().withColumn("on_ring", F.lit(True)))
-    flat = loops.join(ring, "section_id", "left").select(
-        "section_id", "component", F.col("component").alias("root_id"), F.when(F.col("on_ring"), -1).otherwise(-2).cast("int").alias("depth"), F.array("section_id").alias("path"),
-        F.lit(None).cast("bigint").alias("n_descendants"), F.lit(None).cast("bigint").alias("last_seq"), F.lit(None).cast("bigint").alias("seq"), (F.col("on_ring") & (F.col("section_id") == F.col("component"))).alias("is_back_edge"), "parent_id",
-    )
-    return trees.unionByName(flat.withColumn("is_back_edge", F.coalesce("is_back_edge", F.lit(False))))
+    least = F.col("section_id") == F.col("component")
+    cut = _doubled(loops.withColumns({"depth": F.lit(-2), "parent_id": F.when(~least, F.col("parent_id"))})).drop("parent_id", "depth", "is_back_edge")
+    others = loops.groupBy("component").agg((F.count("*") - 1).alias("others"))
+    marked = cut.join(loops.select("section_id", "parent_id"), "section_id").join(ring, "section_id", "left").join(others, "component")
+    walked = marked.withColumns({
+        "depth": F.when(F.col("on_ring"), -1).otherwise(-2),
+        "n_descendants": F.when(F.col("on_ring"), F.col("others")).otherwise(F.col("n_descendants")),
+        "is_back_edge": least,
+    })
+    return trees.unionByName(walked.select(trees.columns))
 
 
 def descendants(walked: DataFrame) -> DataFrame:
