@@ -42,3 +42,22 @@ def test_paths_of_loops_are_the_same_in_large_files(spark):
     columns = ("root_id", "depth", "path", "n_descendants", "is_back_edge", "parent_id")
     low, high = ({r.section_id: tuple(r[c] for c in columns) for r in H.hierarchy(table(spark, looped_rows()), max_group=m).collect()} for m in (20, 10_000))
     assert low == high and low[100][1] == -1 and low[100][3] == 59 and any(len(r[2]) > 6 for r in low.values() if r[1] == -2)
+
+
+def test_descendants_of_loops(spark):
+    rows = looped_rows()
+    stems = {}
+    for i, f, s, _ in sorted(rows, key=lambda r: r[0]):
+        if f is not None and s is not None:
+            stems.setdefault((f, s), i)
+    up = {i: stems.get((f, p)) if f is not None and p else None for i, f, _, p in rows}
+    want = set()
+    for i in up:
+        x, steps, seen = up[i], 1, {i}
+        while x is not None and x not in seen:
+            want.add((x, i, steps))
+            seen.add(x)
+            x, steps = up[x], steps + 1
+    for m in (20, 10_000):
+        got = [tuple(r) for r in H.descendants(H.hierarchy(table(spark, rows), max_group=m), loops=True).select("section_id", "descendant_id", "distance").collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -270,10 +270,22 @@ def _large(nodes: DataFrame) -> DataFrame:
     return trees.unionByName(walked.select(trees.columns))
 
 
-def descendants(walked: DataFrame) -> DataFrame:
+def descendants(walked: DataFrame, loops: bool = False) -> DataFrame:
     """section_id, descendant_id, distance: one row for each section and section below it, taken from the paths.
 
-    Sections on a loop or below one have none; the walk reports them by their depth.
+    With loops also for sections on or below a loop: a node of a ring has all others of its component below it, a node below
+    has its subtree; distance is the least number of steps. Else those have none; the walk reports them by their depth.
     """
     at = F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("place", "ancestor_id")
-    return walked.filter((F.size("path") > 1) & (F.col("depth") > 0)).select(F.col("section_id").alias("descendant_id"), F.size("path").alias("n"), at).select(F.col("ancestor_id").alias("section_id"), "descendant_id", (F.col("n") - 1 - F.col("place")).cast("int").alias("distance"))
+    kept = walked if loops else walked.filter(F.col("depth") > 0)
+    below = kept.filter(F.size("path") > 1).select(F.col("section_id").alias("descendant_id"), F.size("path").alias("n"), at).select(F.col("ancestor_id").alias("section_id"), "descendant_id", (F.col("n") - 1 - F.col("place")).cast("int").alias("distance"))
+    return below.unionByName(_around(walked)) if loops else below
+
+
+def _around(walked: DataFrame) -> DataFrame:
+    """Rows of descendants that lead over the link a loop's path is cut at: ring nodes that aren't on a node's path."""
+    looped = stage_table(walked.filter("depth < 0").select("section_id", "root_id", "depth", "path"))
+    ring = looped.filter("depth = -1").select("root_id", F.col("section_id").alias("ring_id"), F.size("path").alias("place"))
+    size = ring.groupBy("root_id").agg(F.count("*").cast("int").alias("n_ring"))
+    pairs = looped.join(ring.join(size, "root_id"), "root_id").filter(~F.array_contains("path", F.col("ring_id")))
+    return pairs.select(F.col("ring_id").alias("section_id"), F.col("section_id").alias("descendant_id"), (F.size("path") + F.col("n_ring") - F.col("place")).cast("int").alias("distance"))

@@ -29,7 +29,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.descendants(H.hierarchy(table(spark, d, "sections")))
+    return H.descendants(H.hierarchy(table(spark, d, "sections")), loops=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
