@@ -5,6 +5,7 @@ import random
 
 from tests.test_hierarchy import ROWS, table
 from vaultspark.operators import hierarchy as H
+from vaultspark.operators import notes as N
 from vaultspark.operators import rank
 
 
@@ -61,3 +62,15 @@ def test_descendants_of_loops(spark):
     for m in (20, 10_000):
         got = [tuple(r) for r in H.descendants(H.hierarchy(table(spark, rows), max_group=m), loops=True).select("section_id", "descendant_id", "distance").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_references_link_to_the_smallest_title(spark):
+    rows = [(1, "Chapter 4", "see Chapter 4 and 見《Gate》"), (2, "Iron Gate", "見《Gate》"), (3, "Gate", "見《The Iron Gate》 見《nowhere》"), (4, None, None), (5, "12-第12章", "見第2章")]
+    texts = spark.createDataFrame(rows, "k int, own string, t string")
+    titles = texts.select("own").toDF("title")
+    names = sorted(t for _, t, _ in rows if t)
+    refs = {1: ["Chapter 4", "Gate"], 2: ["Gate"], 3: ["The Iron Gate", "nowhere"], 5: ["2"]}
+    own = {k: t for k, t, _ in rows}
+    want = {(k, next((t for t in names if t != own[k] and (t in r or r in t)), None)) for k, rs in refs.items() for r in rs}
+    for block in (1, 100):
+        assert {tuple(r) for r in N.reference_links(texts, "k", "t", "own", titles, block).collect()} == {w for w in want if w[1]}

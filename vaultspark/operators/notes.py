@@ -119,6 +119,55 @@ def cross_references(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.filter(F.col(text).isNotNull()).select(key, F.explode(found).alias("reference")).select(key, md.strip(F.col("reference")).alias("reference"))
 
 
+def reference_links(texts: DataFrame, key: str, text: str, own: str, titles: DataFrame, block: int = TITLE_BLOCK) -> DataFrame:
+    """key, target: the pages that a text refers to by name, each once; own is the column with the text's own title.
+
+    A reference means the smallest title (title), other than the text's own, that it contains or that contains it. Both ways are
+    searched by an automaton over blocks of fixed size; as a text has one title of its own, a reference's two smallest are enough.
+    """
+    found = stage_table(cross_references(texts, key, text).filter("reference <> ''"))
+    references = stage_table(found.select(F.col("reference").alias("x")).distinct())
+    named = stage_table(titles.filter("title <> ''").select(F.col("title").alias("x")).distinct())
+    matched = _contained(named, references, block).select(F.col("outer").alias("reference"), F.col("inner").alias("title"))
+    matched = matched.unionByName(_contained(references, named, block, of_inner=True).select(F.col("inner").alias("reference"), F.col("outer").alias("title")))
+    first = matched.groupBy("reference").agg(F.min("title").alias("first"))
+    second = matched.join(first, "reference").filter("title > first").groupBy("reference").agg(F.min("title").alias("second"))
+    pages = texts.filter(F.col(text).isNotNull()).select(key, F.col(own).alias("own")).distinct()
+    target = F.when(F.col("first").eqNullSafe(F.col("own")), F.col("second")).otherwise(F.col("first"))
+    linked = found.join(first.join(second, "reference", "left"), "reference").join(pages, key)
+    return linked.select(key, target.alias("target")).filter("target is not null").distinct()
+
+
+def _contained(inner: DataFrame, outer: DataFrame, block: int, of_inner: bool = False) -> DataFrame:
+    """inner, outer: texts (x) of inner that occur in one of outer; for each of outer (with of_inner, of inner) a batch's two least partners."""
+    import ahocorasick
+
+    schema = "inner string, outer string"
+    n_blocks = -(-inner.count() // block)
+    out = inner.sparkSession.createDataFrame([], schema)
+    for b in range(n_blocks):
+        part = [r.x for r in inner.filter(F.pmod(F.xxhash64("x"), F.lit(n_blocks)) == b).collect()]
+
+        def run(batches: Iterator[pd.DataFrame], part: list[str] = part) -> Iterator[pd.DataFrame]:
+            automaton = ahocorasick.Automaton()
+            for t in part:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            for batch in batches:
+                least: dict[str, list[str]] = {}
+                for x in batch["x"] if part else ():
+                    for t in {t for _, t in automaton.iter(x)}:
+                        a, b = (t, x) if of_inner else (x, t)
+                        held = least.setdefault(a, [])
+                        if len(held) < 2 or b < held[-1]:
+                            held[:] = sorted([*held, b])[:2]
+                rows = [(a, b) if of_inner else (b, a) for a, bs in least.items() for b in bs]
+                yield pd.DataFrame(rows, columns=["inner", "outer"])
+
+        out = out.unionByName(outer.mapInPandas(run, schema))
+    return out
+
+
 def registry_notes(notes: DataFrame) -> DataFrame:
     """The registry's row of each note, with its links counted anew."""
     counted = inbound(notes)

@@ -49,8 +49,9 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _xref(spark: SparkSession, d: str) -> DataFrame:
-    referring = table(spark, d, "sections").select("section_id", F.concat_ws(" ", F.concat(F.lit("For this see "), F.col("chapter")), F.concat(F.lit("見"), F.col("chapter"))).alias("text"))
-    return N.cross_references(referring, "section_id", "text")
+    sections = table(spark, d, "sections")
+    referring = sections.select("section_id", "stem", F.concat_ws(" ", F.concat(F.lit("For this see "), F.col("chapter")), F.concat(F.lit("見"), F.col("chapter"))).alias("text"))
+    return N.reference_links(referring, "section_id", "text", "stem", sections.select(F.col("stem").alias("title")))
 
 
 def _contract(spark: SparkSession, d: str) -> DataFrame:
