@@ -4,9 +4,11 @@ import json
 import random
 
 from tests.test_hierarchy import ROWS, table
+from vaultspark.operators import compile as C
 from vaultspark.operators import hierarchy as H
 from vaultspark.operators import notes as N
 from vaultspark.operators import rank
+from vaultspark.plans import vault
 
 
 def test_hints_count_before_pages_are_left_out(spark):
@@ -74,3 +76,11 @@ def test_references_link_to_the_smallest_title(spark):
     want = {(k, next((t for t in names if t != own[k] and (t in r or r in t)), None)) for k, rs in refs.items() for r in rs}
     for block in (1, 100):
         assert {tuple(r) for r in N.reference_links(texts, "k", "t", "own", titles, block).collect()} == {w for w in want if w[1]}
+
+
+def test_conflicts_are_concepts_of_several_sources(spark):
+    notes = spark.createDataFrame([(1, "Iron", ["Gate"]), (2, "Iron", ["Gate"]), (3, "Gate", []), (4, "Rose", None)], "note_id bigint, title string, headings array<string>")
+    counts = {r.key: r.n_sources for r in C.concepts(notes).collect()}
+    got = {(r.conflict_group, r.n_sources, r.key) for r in N.concept_conflicts(C.concepts(notes)).collect()}
+    assert got == {(f"concept-pages-with-{n}-sources", n, k) for k, n in counts.items() if n >= 2} and ("concept-pages-with-2-sources", 2, "iron") in got
+    assert "conflict_group" in vault.QUERIES["lint_conflicts"](spark, "/root/testdata/sf0.001").columns

@@ -227,6 +227,12 @@ def missing_concepts(notes: DataFrame) -> DataFrame:
     return heads.join(stems, "heading", "left_anti")
 
 
+def concept_conflicts(concepts: DataFrame) -> DataFrame:
+    """conflict_group, n_sources, key: concept pages (key, n_sources) made from several sources, grouped by how many, one row a page."""
+    group = F.concat(F.lit("concept-pages-with-"), F.col("n_sources").cast("string"), F.lit("-sources"))
+    return concepts.filter("n_sources >= 2").select(group.alias("conflict_group"), "n_sources", "key")
+
+
 def conflicting_sources(raws: DataFrame) -> DataFrame:
     """raw_id, path of raw sources whose own hash differs from the tracked one."""
     return raws.filter("source_hash is not null and raw_hash <> source_hash").select("raw_id", "path")

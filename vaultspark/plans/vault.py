@@ -162,7 +162,8 @@ QUERIES: dict[str, Query] = {
     "stale_summaries": _both(N.stale_summaries),
     "stale_indexes": _notes(N.stale_indexes),
     "lint_missing_concepts": _notes(N.missing_concepts),
-    "lint_conflicts": _both(lambda raws, notes: N.conflicting_sources(raws)),
+    "lint_conflicts": _notes(lambda notes: N.concept_conflicts(C.concepts(notes))),
+    "lint_source_hashes": _both(lambda raws, notes: N.conflicting_sources(raws)),
     "lint_cold": _notes(lambda notes: N.cold_notes(notes, "2024-01-01 00:00:00")),
     "lint_contract": _contract,
     "ingest_delta": _delta,
