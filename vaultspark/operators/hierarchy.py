@@ -1,21 +1,22 @@
 """Parent-child rows to full hierarchies (p6).
 
-Connected components are co-located and walked depth first, iteratively, with node colouring. Links stay within a source_file,
-so co-locating by it co-locates every component. A source_file above MAX_GROUP rows is never put into one task: its
-components, depths and paths come from pointer doubling over (node, parent) pairs.
+Connected components are found by pointer doubling over (node, parent) pairs; each is co-located and walked depth first,
+iteratively, with node colouring. A component above MAX_GROUP rows is never put into one task: what the walk gives comes from
+further doubling over its pairs, equal in every column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultspark.operators.ordered import total_before
 from vaultspark.session import drop_stage, stage_table
 
-#: Rows of a source_file that one task may hold.
+#: Rows of a component that one task may hold.
 MAX_GROUP = 100_000
 
 WALKED = "section_id bigint, component bigint, root_id bigint, depth int, path array<bigint>, n_descendants bigint, last_seq bigint, seq bigint, is_back_edge boolean, parent_id bigint"
@@ -93,15 +94,6 @@ def _jump(far: DataFrame) -> DataFrame:
     return stage_table(far.join(other, F.col("up") == F.col("o_id")).select("id", F.col("o_up").alias("up")))
 
 
-def resolve(ids: list[int], stems: list[str | None], parents: list[str | None]) -> dict[int, int | None]:
-    """Parent id of each id of one source_file, None for a root. Of equal stems the first holds."""
-    of_stem: dict[str, int] = {}
-    for i, stem in zip(ids, stems):
-        if stem is not None:
-            of_stem.setdefault(stem, i)
-    return {i: of_stem.get(p) if p else None for i, p in zip(ids, parents)}
-
-
 def find_loops(parent_of: dict[int, int | None]) -> list[list[int]]:
     """The loops among parent links, each as its nodes."""
     seen: dict[int, int] = {}
@@ -158,57 +150,84 @@ def walk_forest(parent_of: dict[int, int | None], paths: bool = True) -> Iterato
 
 
 def _walk(paths: bool):
-    """Batches sorted by source_file to walked rows; a source_file may span batches. Rows leave in frames of bounded size."""
-    names = [c.split()[0] for c in WALKED.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        out: list[tuple] = []
-
-        def groups() -> Iterator[pd.DataFrame]:
-            nonlocal held
-            for batch in batches:
-                files = batch["source_file"].to_numpy()
-                cuts = [0, *((files[1:] != files[:-1]).nonzero()[0] + 1).tolist(), len(files)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if held and a < b and held[-1]["source_file"].iloc[0] != files[a]:
-                        yield pd.concat(held)
-                        held = []
-                    if a < b:
-                        held.append(batch.iloc[a:b])
-            if held:
-                yield pd.concat(held)
-
-        load = 0
-        for group in groups():
-            parent_of = resolve(group["section_id"].tolist(), group["stem"].tolist(), group["parent"].tolist())
+    """Batches sorted by component to walked rows. Whole components are walked together, some 50,000 rows at a time; one may span batches."""
+    schema = pa.schema([(c, {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}[kind]) for c, kind in (x.split() for x in WALKED.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent_of: dict[int, int | None] = {}
+        last = None
+
+        def walked() -> Iterator[pa.RecordBatch]:
+            out, load = [], 0
             for row in walk_forest(parent_of, paths):
                 out.append(row)
                 load += 10 + len(row[4])
                 if load > 500_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                     out, load = [], 0
-        if out:
-            yield pd.DataFrame(out, columns=names)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+        for batch in batches:
+            for component, node, parent in zip(*(batch.column(c).to_pylist() for c in ("component", "section_id", "parent_id"))):
+                if component != last and len(parent_of) >= 50_000:
+                    yield from walked()
+                    parent_of = {}
+                last = component
+                parent_of[node] = parent
+        yield from walked()
 
     return run
 
 
-def _doubled(nodes: DataFrame) -> DataFrame:
-    """Rows as from the walk for components too large for one task: paths by doubling, descendants counted from the paths.
+def _sizes(edges: DataFrame) -> DataFrame:
+    """section_id, below: how many nodes stand below each in a forest (section_id, up).
 
-    nodes: section_id, parent_id, component, depth.
+    After k rounds a node has counted those less than 2^k steps below it, so every round is of the forest's size.
+    """
+    state = stage_table(edges.select("section_id", "up", F.lit(1).cast("bigint").alias("n")))
+    while state.filter("up is not null").limit(1).count():
+        more = state.filter("up is not null").groupBy(F.col("up").alias("m_id")).agg(F.sum("n").alias("more"))
+        other = state.select(F.col("section_id").alias("o_id"), F.col("up").alias("o_up"))
+        counted = state.join(more, F.col("section_id") == F.col("m_id"), "left").join(other, F.col("up") == F.col("o_id"), "left")
+        after = stage_table(counted.select("section_id", F.col("o_up").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        drop_stage(state)
+        state = after
+    return state.select("section_id", (F.col("n") - 1).alias("below"))
+
+
+def _distributed(nodes: DataFrame, paths: bool) -> DataFrame:
+    """Rows as from the walk for components (section_id, component, depth, parent_id) too large for one task.
+
+    A loop is cut at the link of its least node, which makes its component a tree. A node's place in the walk is the sum, over its
+    path, of the sizes of what is walked between each node and its parent; paths and these sums are doubled together. Ring nodes
+    are the images of all nodes of looped components far enough up.
     """
-    state = stage_table(nodes.select("section_id", "component", "parent_id", "depth", F.coalesce("parent_id", "section_id").alias("up"), F.array("section_id").alias("path"), (F.col("parent_id").isNull() | F.col("depth").isNull()).alias("settled")))
-    while state.filter("not settled").limit(1).count():
-        other = state.select(F.col("section_id").alias("o_id"), F.col("up").alias("o_up"), F.col("path").alias("o_path"), F.col("settled").alias("o_settled"))
-        moved = state.filter("not settled").join(other, F.col("up") == F.col("o_id")).select("section_id", "component", "parent_id", "depth", F.col("o_up").alias("up"), F.concat("o_path", "path").alias("path"), F.col("o_settled").alias("settled"))
-        state = stage_table(state.filter("settled").unionByName(moved))
-    below = state.filter("depth is not null").select(F.explode("path").alias("section_id")).groupBy("section_id").agg((F.count("*") - 1).alias("n_descendants"))
-    ring = F.col("section_id") == F.col("component")
-    return state.join(below, "section_id", "left").select(
-        "section_id", "component", F.col("component").alias("root_id"), F.coalesce("depth", F.when(ring, -1).otherwise(-2)).alias("depth"), "path",
-        F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.lit(None).cast("bigint").alias("last_seq"), F.lit(None).cast("bigint").alias("seq"), F.lit(False).alias("is_back_edge"), "parent_id",
+    least = F.col("section_id") == F.col("component")
+    edges = stage_table(nodes.select("section_id", "component", "parent_id", F.col("depth").isNull().alias("looped"), F.when(~(F.col("depth").isNull() & least), F.col("parent_id")).alias("up")))
+    sizes = stage_table(_sizes(edges))
+    beside = total_before(edges.filter("up is not null").join(sizes, "section_id").select("up", "section_id", (F.col("below") + 1).alias("size")), ["up"], ["section_id"], "size")
+    steps = beside.select("section_id", (F.col("before") + 1).alias("seq"))
+    path = F.array("section_id") if paths else F.array().cast("array<bigint>")
+    state = stage_table(edges.join(steps, "section_id", "left").select("section_id", "up", F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"), path.alias("path")))
+    while state.filter("up is not null").limit(1).count():
+        other = state.select(F.col("section_id").alias("o_id"), F.col("up").alias("o_up"), F.col("seq").alias("o_seq"), F.col("steps").alias("o_steps"), F.col("path").alias("o_path"))
+        moved = state.filter("up is not null").join(other, F.col("up") == F.col("o_id"))
+        moved = moved.select("section_id", F.col("o_up").alias("up"), (F.col("seq") + F.col("o_seq")).alias("seq"), (F.col("steps") + F.col("o_steps")).alias("steps"), F.concat("o_path", "path").alias("path"))
+        after = stage_table(state.filter("up is null").unionByName(moved))
+        drop_stage(state)
+        state = after
+    far, size = edges.filter("looped").select(F.col("section_id").alias("id"), F.col("parent_id").alias("up")), None
+    far = stage_table(far)
+    while (image := far.select("up").distinct().count()) != size:
+        size, far = image, _jump(far)
+    ring = far.select(F.col("up").alias("section_id")).distinct().withColumn("on_ring", F.lit(True))
+    others = edges.filter("looped").groupBy("component").agg((F.count("*") - 1).alias("others"))
+    joined = state.drop("up").join(edges, "section_id").join(sizes, "section_id").join(ring, "section_id", "left").join(others, "component", "left")
+    depth = F.when(F.col("on_ring"), -1).when(F.col("looped"), -2).otherwise(F.col("steps"))
+    return joined.select(
+        "section_id", "component", F.col("component").alias("root_id"), depth.cast("int").alias("depth"), "path", F.when(F.col("on_ring"), F.col("others")).otherwise(F.col("below")).alias("n_descendants"),
+        (F.col("seq") + F.col("below")).alias("last_seq"), "seq", (F.col("looped") & least).alias("is_back_edge"), "parent_id",
     )
 
 
@@ -216,58 +235,20 @@ def hierarchy(sections: DataFrame, paths: bool = True, max_group: int = MAX_GROU
     """Every section with component, root_id, depth, path (ids from the root), n_descendants, pre-order places and back edges.
 
     A section whose parent is null, empty or no stem of its own source_file is a root of depth 0. On a loop depth is -1,
-    leading into one -2, and root_id is the least section_id of the loop. Descendants of x within its component are the
-    rows with seq in (x.seq, x.last_seq]; of a node on a loop all others. Rows with a null section_id are left out, repeated
-    rows give one row; of sections that share stem and source_file the least is the parent. An empty table gives no rows;
-    columns besides those read are ignored. Without paths they stay empty.
-
-    No link leaves its source_file, so the components of a source_file of up to max_group rows are found and walked where it
-    is co-located; those of a larger one are found by pointer doubling.
-    """
-    rows = sections.filter(F.col("section_id").isNotNull()).select("section_id", "source_file", "stem", F.nullif("parent", F.lit("")).alias("parent"))
-    hot = rows.filter("source_file is not null").groupBy("source_file").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("source_file")
-    hot = stage_table(hot)
-    alone = rows.filter("source_file is null").select("section_id").distinct().select(
-        "section_id", F.col("section_id").alias("component"), F.col("section_id").alias("root_id"), F.lit(0).alias("depth"), (F.array("section_id") if paths else F.array().cast("array<bigint>")).alias("path"),
-        *[F.lit(0).cast("bigint").alias(c) for c in ("n_descendants", "last_seq", "seq")], F.lit(False).alias("is_back_edge"), F.lit(None).cast("bigint").alias("parent_id"),
-    )
-    rest = rows.filter("source_file is not null")
-    any_hot = bool(hot.limit(1).count())
-    if any_hot:
-        rest = rest.join(hot, "source_file", "left_anti")
-    walked = rest.repartition("source_file").sortWithinPartitions("source_file", "section_id").mapInPandas(_walk(paths), WALKED).unionByName(alone)
-    return walked.unionByName(_distributed(rows.join(hot, "source_file", "left_semi"))) if any_hot else walked
-
-
-def _distributed(rows: DataFrame) -> DataFrame:
-    named, pairs = components(parent_pairs(rows))
-    return _large(stage_table(named.join(pairs, "section_id")))
-
+    leading into one -2, and root_id is the least section_id of the loop, where its path begins. Descendants of x within its
+    component are the rows with seq in (x.seq, x.last_seq]; of a node on a loop all others. Rows with a null section_id are left
+    out, repeated rows give one row; of sections that share stem and source_file the least is the parent. An empty table gives no
+    rows; columns besides those read are ignored. Without paths they stay empty.
 
-def _large(nodes: DataFrame) -> DataFrame:
-    """Components above the limit, by doubling. A loop is cut at the link of its least node, which makes its component a tree.
-
-    The ring's nodes are marked by their own images; each has all others of its component as descendants.
+    Components of up to max_group rows are walked where they are co-located, larger ones give the same rows without being gathered.
     """
-    trees = _doubled(nodes.filter("depth is not null"))
-    loops = nodes.filter("depth is null")
-    if not loops.limit(1).count():
-        return trees
-    edges = stage_table(loops.select(F.col("section_id").alias("id"), F.col("parent_id").alias("up")))
-    far, size = edges, None
-    while (image := far.select("up").distinct().count()) != size:
-        size, far = image, _jump(far)
-    ring = stage_table(far.select(F.col("up").alias("section_id")).distinct().withColumn("on_ring", F.lit(True)))
-    least = F.col("section_id") == F.col("component")
-    cut = _doubled(loops.withColumns({"depth": F.lit(-2), "parent_id": F.when(~least, F.col("parent_id"))})).drop("parent_id", "depth", "is_back_edge")
-    others = loops.groupBy("component").agg((F.count("*") - 1).alias("others"))
-    marked = cut.join(loops.select("section_id", "parent_id"), "section_id").join(ring, "section_id", "left").join(others, "component")
-    walked = marked.withColumns({
-        "depth": F.when(F.col("on_ring"), -1).otherwise(-2),
-        "n_descendants": F.when(F.col("on_ring"), F.col("others")).otherwise(F.col("n_descendants")),
-        "is_back_edge": least,
-    })
-    return trees.unionByName(walked.select(trees.columns))
+    named, pairs = components(parent_pairs(sections))
+    nodes = stage_table(named.join(pairs, "section_id"))
+    large = stage_table(nodes.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("component"))
+    any_large = bool(large.limit(1).count())
+    rest = nodes.join(large, "component", "left_anti") if any_large else nodes
+    walked = rest.select("component", "section_id", "parent_id").repartition("component").sortWithinPartitions("component", "section_id").mapInArrow(_walk(paths), WALKED)
+    return walked.unionByName(_distributed(nodes.join(large, "component", "left_semi"), paths)) if any_large else walked
 
 
 def descendants(walked: DataFrame, loops: bool = False) -> DataFrame:

@@ -8,21 +8,28 @@ from pyspark.sql import functions as F
 from vaultspark.session import stage_table
 
 
-def grouped_position(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """rows with `position`, counting from 1 within group by order.
+def total_before(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """rows with `before`: the sum of value over the rows of the same group that come earlier by order.
 
-    Rows are range-partitioned by group and order, numbered within each range and group, and offset by the counts of the ranges
-    before; a hot group spans many ranges. Ties of order are numbered in any order.
+    Rows are range-partitioned by group and order, summed within each range and group, and offset by the sums of the ranges
+    before; a hot group spans many ranges. Ties of order are taken in any order. Values mustn't be null.
     """
     ranged = stage_table(rows.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
-    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")
-    offsets = counts.withColumn("_before", before).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_range").alias("_r"), "_before")
-    numbered = ranged.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")
+    offsets = sums.withColumn("_before", earlier).select(*[F.col(g).alias(f"_{g}") for g in group], F.col("_range").alias("_r"), "_before")
+    within = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_k", F.sum(value).over(within) - F.col(value))
     on = F.col("_range") == F.col("_r")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return numbered.join(offsets, on).withColumn("position", F.col("_before") + F.col("_k")).select(*rows.columns, "position")
+    return summed.join(offsets, on).withColumn("before", F.col("_before") + F.col("_k")).select(*rows.columns, "before")
+
+
+def grouped_position(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """rows with `position`, counting from 1 within group by order; ties of order are numbered in any order."""
+    placed = total_before(rows.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one")
+    return placed.withColumn("position", F.col("before") + 1).select(*rows.columns, "position")
 
 
 def neighbours(rows: DataFrame, group: str, order: str) -> DataFrame:

@@ -85,7 +85,10 @@ SELECT t.field_name, t.period, t.n_refs, count(*) FILTER (o.reason = 'missing')
 FROM (SELECT field_name, strftime(moment, '%Y-%m') AS period, count(*) AS n_refs FROM refs GROUP BY ALL) t
 LEFT JOIN orphans o ON o.field_name = t.field_name AND o.period = t.period GROUP BY ALL""",
     "p6_found": f"WITH RECURSIVE {_WALK} SELECT section_id, root_id, CAST(depth AS INTEGER) AS depth FROM found",
+    "p6_paths": f"""WITH RECURSIVE {_WALK},
+below AS (SELECT cur, count(DISTINCT section_id) AS n FROM up WHERE cur <> section_id GROUP BY cur)
+SELECT f.section_id, root_id, CAST(depth AS INTEGER) AS depth, array_to_string(list_reverse(list_slice(seen, 1, list_position(seen, root_id))), '/') AS path,
+       coalesce(b.n, 0) AS n_descendants, depth = -1 AND root_id = f.section_id AS is_back_edge FROM found f LEFT JOIN below b ON b.cur = f.section_id""",
     "p6_descendants": f"""WITH RECURSIVE {_WALK}
-SELECT u.cur AS section_id, u.section_id AS descendant_id, CAST(u.steps AS INTEGER) AS distance FROM up u JOIN found f ON f.section_id = u.section_id
-WHERE u.steps > 0 AND NOT f.again""",
+SELECT cur AS section_id, section_id AS descendant_id, CAST(min(steps) AS INTEGER) AS distance FROM up WHERE cur <> section_id GROUP BY cur, section_id""",
 }
