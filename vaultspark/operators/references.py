@@ -1,8 +1,8 @@
 """References to records that do not exist (p4).
 
 Distinct foreign keys are left-anti-joined against the parent keys that hold for good; only the suspects that remain are joined
-back to their rows, where each reference gets its reason. Parents with an end are tested by a blocked running maximum, never by
-pairing references with intervals.
+back to their rows, where each reference gets its reason. Parents with an end are tested by a running maximum over ranges of time,
+never by pairing references with intervals.
 """
 
 from __future__ import annotations
@@ -100,37 +100,37 @@ def orphan_references(refs: DataFrame, periods: DataFrame) -> DataFrame:
 def _not_covered(refs: DataFrame, periods: DataFrame) -> DataFrame:
     """refs whose `at` lies in none of the periods of their key.
 
-    A time is covered if the latest end among the periods begun by then lies after it. That running maximum is taken within
-    blocks of one month and carried from block to block, so that one hot key is spread over its months.
+    A time is covered if the latest end among the periods begun by then lies after it. Each distinct time of a key is judged once.
+    Times and periods are range-partitioned by key and time, so a hot key, or a hot month of it, spans many ranges; the running
+    maximum is taken within a range and carried over from the ranges before. Equal times of a key never part.
     """
-    columns = refs.columns
-    block = ["kind", "ref_key", "block"]
-    events = (
-        refs.withColumns({"time": F.col("at"), "end": F.lit(None).cast("timestamp_ntz")})
-        .unionByName(periods.select("kind", "ref_key", F.col("begins").alias("time"), F.col("ends").alias("end")), allowMissingColumns=True)
-        .withColumn("block", F.year("time") * 12 + F.month("time"))
-    )
-    carried = (
-        events.groupBy(*block)
-        .agg(F.max("end").alias("block_end"))
-        .withColumn("carry", F.max("block_end").over(Window.partitionBy("kind", "ref_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(*block, "carry")
-    )
-    within = Window.partitionBy(*block).orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    latest = events.join(carried, block).withColumn("latest", F.greatest("carry", F.max("end").over(within)))
-    return latest.filter(F.col("note_id").isNotNull() & ~F.coalesce(F.col("latest") > F.col("time"), F.lit(False))).select(*columns)
+    key = ["kind", "ref_key"]
+    times = refs.select(*key, F.col("at").alias("time")).distinct().withColumns({"end": F.lit(None).cast("timestamp_ntz"), "asked": F.lit(True)})
+    events = times.unionByName(periods.select(*key, F.col("begins").alias("time"), F.col("ends").alias("end"), F.lit(False).alias("asked")))
+    ranged = stage_table(events.repartitionByRange(*key, "time").withColumn("range", F.spark_partition_id()))
+    earlier = F.max("range_end").over(Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ranged.groupBy(*key, "range").agg(F.max("end").alias("range_end")).withColumn("carry", earlier).select(*key, "range", "carry")
+    within = Window.partitionBy(*key, "range").orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = ranged.withColumn("met", F.max("end").over(within)).join(carried, [*key, "range"])
+    open_ = latest.filter(F.col("asked") & ~F.coalesce(F.greatest("carry", "met") > F.col("time"), F.lit(False))).select(*key, F.col("time").alias("at"))
+    return refs.join(open_, [*key, "at"]).select(*refs.columns)
 
 
-def find_orphans(notes: DataFrame, raws: DataFrame) -> DataFrame:
-    """note_id, field_name, target_ref, reason, period (YYYY-MM of mtime, null where that is unknown) of every orphan reference."""
-    found = orphan_references(note_references(notes), parent_periods(notes, raws))
+def find_orphans(notes: DataFrame, raws: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """note_id, field_name, target_ref, reason, period (YYYY-MM of mtime, null where that is unknown) of every orphan reference.
+
+    The references are read from the notes once and staged; refs are those of the same notes, where they are staged already.
+    """
+    refs = stage_table(note_references(notes)) if refs is None else refs
+    found = orphan_references(refs, parent_periods(notes, raws))
     return found.select("note_id", "field_name", "target_ref", "reason", F.date_format("at", "yyyy-MM").alias("period"))
 
 
 def orphan_report(notes: DataFrame, raws: DataFrame) -> DataFrame:
     """Per field and period: entries, and orphans by reason. Every period with entries has a row."""
-    totals = note_references(notes).groupBy("field_name", F.date_format("at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n_refs"))
+    refs = stage_table(note_references(notes))
+    totals = refs.groupBy("field_name", F.date_format("at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n_refs"))
     reasons = ["missing", "late", "deleted"]
-    orphans = find_orphans(notes, raws).groupBy("field_name", "period").agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in reasons])
+    orphans = find_orphans(notes, raws, refs).groupBy("field_name", "period").agg(*[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in reasons])
     joined = totals.alias("t").join(orphans.alias("o"), (F.col("t.field_name") == F.col("o.field_name")) & F.col("t.period").eqNullSafe(F.col("o.period")), "left")
     return joined.select("t.field_name", "t.period", "n_refs", *[F.coalesce(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in reasons])

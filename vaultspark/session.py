@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,9 @@ SETTINGS = {
 }
 
 
+_staging: set[str] = set()
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply SETTINGS to a session and return it."""
     for key, value in SETTINGS.items():
@@ -48,33 +52,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. On one machine (tests) a temporary folder stands in where it is unset; on a cluster that is an error."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="vaultspark-"))
-        return sc.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="vaultspark-")
+        atexit.register(shutil.rmtree, found, True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
+def _stages(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/vaultspark/{spark.sparkContext.applicationId}"
+
+
 def stage_table(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back; lineage ends there and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back; lineage ends there and survives lost executors.
+
+    The stages of an application lie in one folder. It is deleted by drop_stages, or when the driver ends, as lazy results may
+    read them until then.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vaultspark/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _staging:
+        _staging.add(app)
+        atexit.register(_clean, spark)
+    path = f"{_stages(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files behind a stage_table once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stages of this application; results that read them must have been written by then."""
+    _delete(spark, _stages(spark))
+
+
+def _clean(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # not stopped yet
+        drop_stages(spark)
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
