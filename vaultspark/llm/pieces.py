@@ -19,8 +19,8 @@ KINDS = ["paragraph", "line", "sentence", "word", "mark", "forced"]
 PENALTY = np.array([0.0, 0.5, 1.0, 2.0, 3.0, 1000.0])
 #: Of an overlap shorter than asked for, and weight of the imbalance.
 SHORTENED, IMBALANCE = 50.0, 4.0
-#: Weaker boundaries count only where stronger ones are farther apart than this share of the limit; forced ones lie on a grid of the other share.
-GAP, GRID = 4, 40
+#: Inside an unbroken stretch forced cuts lie on a grid of this share of the limit (10 code points of 4,000); all natural boundaries count.
+GRID = 400
 
 MARKS = np.array([ord(c) for c in ".!?。！？"])
 WIDE_MARKS = np.array([ord(c) for c in "。！？"])
@@ -44,27 +44,52 @@ def boundaries(codes: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.nd
     inner = marks[(marks < n) & ~space[np.minimum(marks, n - 1)]]
     inner_kind = np.where(wide[(marks < n) & ~space[np.minimum(marks, n - 1)]], 2, 4)
     before_mark = np.nonzero(mark)[0]
-    at = np.concatenate([ends, inner, begins, before_mark])
-    of = np.concatenate([kind, inner_kind, np.full(len(begins) + len(before_mark), 4)])
+    within = np.nonzero(space[:-1] & space[1:])[0] + 1  # inside a run of white space
+    at = np.concatenate([ends, inner, within, begins, before_mark])
+    of = np.concatenate([kind, inner_kind, np.full(len(within), 3), np.full(len(begins) + len(before_mark), 4)])
     order = np.lexsort((of, at))
     at, of = at[order], of[order]
     first = np.append(True, at[1:] != at[:-1]) if len(at) else np.empty(0, bool)
     at, of = at[first], of[first]
     inside = (at > 0) & (at < n)
     at, of = at[inside], of[inside]
-    strong = of <= 2
-    marksat = np.concatenate([[0], at[strong], [n]])
-    gap = np.diff(marksat)
-    keep = strong | (gap[np.searchsorted(marksat, at, side="right") - 1] > limit // GAP)
-    positions, kinds = at[keep], of[keep]
-    rim = np.concatenate([[0], positions, [n]])
+    rim = np.concatenate([[0], at, [n]])
     wide_gaps = np.nonzero(np.diff(rim) > limit)[0]
+    natural = at[of <= 3]
     if len(wide_gaps):
         grid = np.concatenate([np.arange(rim[g] + max(1, limit // GRID), rim[g + 1], max(1, limit // GRID)) for g in wide_gaps])
-        positions, kinds = np.concatenate([positions, grid]), np.concatenate([kinds, np.full(len(grid), 5)])
-        order = np.argsort(positions, kind="stable")
-        positions, kinds = positions[order], kinds[order]
-    return np.concatenate([[0], positions, [n]]), np.concatenate([[0], kinds, [0]]), at[of <= 3]
+        at, of = np.concatenate([at, grid]), np.concatenate([of, np.full(len(grid), 5)])
+        order = np.argsort(at, kind="stable")
+        at, of = at[order], of[order]
+    return np.concatenate([[0], at, [n]]), np.concatenate([[0], of, [0]]), natural
+
+
+def cheapest(at: np.ndarray, penalty: np.ndarray, back: np.ndarray, limit: int, target: float) -> tuple[float, list[int]]:
+    """(cost, places of the cuts from 0 to the end) of the cheapest split at these positions; infinite where a gap is above the limit."""
+    m = len(at)
+    cost, came = np.zeros(m), np.zeros(m, np.int64)
+    low = np.searchsorted(at, at - limit)
+    # pieces from before this place have no room for the whole overlap; where overlaps begin never falls
+    full = np.maximum(np.searchsorted(np.maximum.accumulate(at - back), at - limit), low)
+    weight, place = IMBALANCE / target**2, at.astype(float)
+    for j, (a, b, c, p) in enumerate(zip(low.tolist(), full.tolist(), (place - target).tolist(), penalty.tolist())):
+        if j == 0:
+            continue
+        if a == j:
+            return float("inf"), []
+        off = place[a:j] - c
+        off *= off
+        off *= weight
+        off += cost[a:j]
+        if b > a:
+            off[: b - a] += SHORTENED
+        best = int(off.argmin())
+        came[j] = a + best
+        cost[j] = off[best] + p
+    cuts = [m - 1]
+    while cuts[-1]:
+        cuts.append(int(came[cuts[-1]]))
+    return float(cost[-1]), cuts[::-1]
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
@@ -74,31 +99,22 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         return [(0, n, 0, "end")]
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     at, kinds, natural = boundaries(codes, limit)
-    m = len(at)
     near = np.minimum(np.searchsorted(natural, at - overlap), max(len(natural) - 1, 0))
     start = natural[near] if len(natural) else at - overlap
     back = np.where((start >= at - overlap) & (start < at), at - start, np.minimum(overlap, at))
     back[0] = 0
     target = n / np.ceil((n - overlap) / (limit - overlap))
-    cost = np.zeros(m)
-    came = np.zeros(m, np.int64)
-    low = np.searchsorted(at, at - limit)
-    penalty = PENALTY[kinds]
-    for j in range(1, m):
-        i = slice(low[j], j)
-        length = at[j] - at[i]
-        total = cost[i] + IMBALANCE * ((length - target) / target) ** 2 + SHORTENED * (length + back[i] > limit)
-        best = int(total.argmin())
-        came[j] = low[j] + best
-        cost[j] = total[best] + penalty[j]
-    cuts = [m - 1]
-    while cuts[-1]:
-        cuts.append(int(came[cuts[-1]]))
-    cuts.reverse()
+    # strong boundaries first: a split that uses a weaker one costs its penalty at least, so one below that is the cheapest over all
+    for level in range(1, len(KINDS)):
+        some = np.nonzero(kinds <= level)[0]
+        cost, cuts = cheapest(at[some], PENALTY[kinds[some]], back[some], limit, target)
+        if level + 1 == len(KINDS) or cost <= PENALTY[level + 1]:
+            break
+    cuts = some[cuts].tolist()
     out = []
     for a, b in zip(cuts, cuts[1:]):
         over = int(min(back[a], limit - (at[b] - at[a])))
-        out.append((int(at[a]) - over, int(at[b] - at[a]) + over, over, KINDS[kinds[b]] if b < m - 1 else "end"))
+        out.append((int(at[a]) - over, int(at[b] - at[a]) + over, over, KINDS[kinds[b]] if b < len(at) - 1 else "end"))
     return out
 
 
