@@ -88,6 +88,26 @@ def test_packing_fills_containers(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in packing.pack(nulls, 100).collect()) == [(1, 0), (2, 5), (2, 5)]
 
 
+def test_least_squares_converge():
+    """No combination of three lengths that fills a container would move by half a container."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        h = np.bincount(rng.integers(1, 40, 3000), minlength=65)
+        combos, x = packing.repeat_counts(h, 64)
+        left = h.astype(float)
+        for k in range(3):
+            left -= np.bincount(combos[:, k], weights=x, minlength=65)
+        left[0] = 0
+        assert (x >= 0).all() and (combos.sum(1) == 64).all()
+        for combo in itertools.combinations_with_replacement(range(65), 3):
+            if sum(combo) == 64 and all(h[s] for s in combo if s):
+                assert sum(left[s] for s in combo) / packing.squares(np.array([combo]))[0] <= packing.STEP + 1e-9
+
+
 def test_plan_uses_the_histogram_exactly():
     random.seed(9)
     for _ in range(30):
@@ -147,6 +167,37 @@ def test_split_is_the_cheapest():
         assert abs(cost - best(len(at) - 1)) < 1e-6
 
 
+def test_every_natural_boundary_is_in_the_program():
+    import numpy as np
+
+    random.seed(14)
+    for _ in range(300):
+        text = "".join(random.choice(["ab", " ", "   ", ". ", "。", "\n\n", "x.y"]) for _ in range(40))
+        at, kinds, _ = pieces.boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32), 30)
+        natural = {k for k in range(1, len(text)) if any(c.isspace() or c in ".!?。！？" for c in text[k - 1 : k + 1])}
+        assert set(at[1:-1][kinds[1:-1] < 5].tolist()) == natural
+    long_gap = "word " + " " * 4500 + "word " * 300
+    assert all(cut != "forced" for *_, cut in pieces.split(long_gap))
+
+
+def test_levels_give_the_cheapest_over_all_boundaries():
+    import numpy as np
+
+    random.seed(15)
+    for _ in range(200):
+        text = "".join(random.choice(["abcdefg", " ", ". ", "\n", "\n\n", "a" * 50]) for _ in range(60))
+        n, limit = len(text), 40
+        if n <= limit:
+            continue
+        at, kinds, _ = pieces.boundaries(np.frombuffer(text.encode("utf-32-le"), np.uint32), limit)
+        target = n / np.ceil(n / limit)
+        cost, _ = pieces.cheapest(at, pieces.PENALTY[kinds], at * 0, limit, target)
+        place, own = {int(p): k for k, p in enumerate(at)}, 0.0
+        for first, length, _, _ in pieces.split(text, limit, 0):
+            own += pieces.IMBALANCE * ((length - target) / target) ** 2 + pieces.PENALTY[kinds[place[first + length]]]
+        assert abs(own - cost) < 1e-6
+
+
 def test_oversized_items_with_nulls(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "word " * 1000, "x"), (4, "z" * 9000, "x"), (5, "y" * 4000, "x")], "section_id bigint, body string, cut string")
     assert {r.section_id: r.boundary for r in pieces.find_oversized(rows).collect()} == {3: "natural", 4: "forced"}
