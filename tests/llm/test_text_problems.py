@@ -257,6 +257,18 @@ def test_look_alikes(spark):
     assert lookalike.find_cases(rows.limit(0)).count() == 0
 
 
+def test_look_alikes_of_further_alphabets():
+    forms = {"ѵale": "vale", "ҽel": "eel", "ᎪᎡT": "ART", "ꓐOOꓗ": "BOOK", "Ⲕing": "King", "ʙook": "book", "ꜰish": "fish", "Ɩron": "Iron", "stoηe": "stone", "ʀɪᴠer": "river", "нoc": "нос", "Mëдveй": "Мёдvей"}
+    for odd, plain in forms.items():
+        assert lookalike.look(odd)[0] == plain, odd
+
+
+def test_doubtful_words_are_judged_each(spark):
+    rows = spark.createDataFrame([(1, "ace of"), (2, "асе хор"), (3, "хор"), (4, None), (5, "")], "note_id bigint, title string").withColumn("concept_key", F.lit(None).cast("string"))
+    forms = {r.value: r.canonical for r in lookalike.canonical_values(rows, "note_id", ["title", "concept_key"]).collect()}
+    assert forms == {"ace of": "ace of", "асе хор": "ace хор", "хор": "хор", "": ""}
+
+
 # p1
 
 
