@@ -32,7 +32,7 @@ STYLES = set("‑″‴⁗‶‷´¨¯¸˜᾽᾿῾")
 SCRIPTS = {"cyrillic": CYRILLIC, "greek": GREEK, "armenian": ARMENIAN, "cherokee": CHEROKEE, "lisu": LISU, "coptic": COPTIC}
 #: Where the letters of each script stand.
 RANGES = [("latin", 0, 0x24F), ("greek", 0x370, 0x3E1), ("coptic", 0x3E2, 0x3EF), ("greek", 0x3F0, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("cherokee", 0x13A0, 0x13FF), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("coptic", 0x2C80, 0x2CFF), ("lisu", 0xA4D0, 0xA4FF), ("cyrillic", 0xA640, 0xA69F)]
-BACK = {script: {latin: letter for letter, latin in table.items()} for script, table in SCRIPTS.items()}
+BACK = {script: {latin: letter for letter, latin in reversed(table.items())} for script, table in SCRIPTS.items()}  # the first of several
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 SMALL_CAPITAL = regex.compile(r"(?:MODIFIER LETTER|LATIN LETTER) SMALL CAPITAL ([A-Z])")
 ODD = r"[^\t\n\r\x{20}-\x{7e}]"
