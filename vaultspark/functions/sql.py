@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vaultspark.functions.md import FENCED, FRONT, LINE_END, SPACE, STOPWORDS
+from vaultspark.functions.md import FENCED, FRONT, LINE_END, SPACE, STOPWORDS, UNSAFE
 
 
 def strip(x: str, characters: str = SPACE) -> str:
@@ -74,6 +74,11 @@ def path_slug(x: str) -> str:
     return f"coalesce(nullif({out}, ''), 'untitled')"
 
 
+def file_name(x: str) -> str:
+    safe = strip(f"regexp_replace({x}, '{UNSAFE}', '_', 'g')")
+    return f"coalesce(nullif(regexp_replace(regexp_replace({safe}, '[{SPACE}]+', '-', 'g'), '[-_]{{2,}}', '-', 'g'), ''), 'untitled')"
+
+
 def tokens(x: str) -> str:
     return f"list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2)"
 

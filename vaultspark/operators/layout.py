@@ -19,8 +19,11 @@ HEADING = re.compile(r"^\s{0,3}#{1,6}\s+")
 NOISE = re.compile(r"^\s*(?:\d+|Page\s+\d+|第\s*\d+\s*页|[-_=]{2,}|[·•])\s*$")
 ITEM = re.compile(r"^\s*(?:[-*•]\s+|\d+[.)、]\s+|[一二三四五六七八九十]+[、.)])")
 CELLS = re.compile(r"\s{2,}|\t+")
-RELATIONS = set("刑冲破害合克生")
-CHART = set("子丑寅卯辰巳午未申酉戌亥甲乙丙丁戊己庚辛壬癸贵后阴玄常虎空龙勾合朱蛇")
+RELATIONS = {"刑", "冲", "破", "害", "合", "克", "生"}
+CHART = {
+    "子", "丑", "寅", "卯", "辰", "巳", "午", "未", "申", "酉", "戌", "亥", "甲", "乙", "丙", "丁", "戊", "己", "庚", "辛", "壬", "癸",
+    "贵", "后", "阴", "玄", "常", "虎", "空", "龙", "勾", "合", "朱", "蛇",
+}
 CONFIDENCE = {"table_fragment": 0.9, "chart_block": 0.86, "short_column_relation": 0.82, "running_header_noise": 0.75, "heading_break": 0.71, "list_fragment": 0.68}
 FOUND = "risk_type string, confidence double, start_line int, end_line int, heading string, excerpt string"
 
@@ -99,8 +102,8 @@ def candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def normalised(excerpt: Column) -> Column:
-    """An excerpt's lines trimmed, blank ones left out."""
-    return F.array_join(F.filter(F.transform(md.lines(excerpt), lambda x: md.strip(x)), lambda x: x != ""), "\n")
+    """An excerpt's lines trimmed, with single spaces inside, blank ones left out."""
+    return F.array_join(F.filter(F.transform(md.lines(excerpt), lambda x: F.regexp_replace(md.strip(x), f"[{md.SPACE}]+", " ")), lambda x: x != ""), "\n")
 
 
 def deduplicated(found: DataFrame, key: list[str]) -> DataFrame:

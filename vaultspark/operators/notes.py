@@ -55,14 +55,15 @@ def broken_links(notes: DataFrame) -> DataFrame:
 
 
 def orphan_notes(notes: DataFrame) -> DataFrame:
-    """note_id, path of notes, indexes apart, that no other page links to."""
+    """note_id, path of notes, indexes apart, that no page links to and that link to none."""
     linked = link_occurrences(notes).select(F.col("target").alias("stem")).distinct()
-    return with_stem(notes.filter("coalesce(note_type, '') <> 'index'")).join(linked, "stem", "left_anti").select("note_id", "path")
+    alone = F.size(F.array_compact(F.coalesce("outbound_links", F.array().cast("array<string>")))) == 0
+    return with_stem(notes.filter(alone & (F.coalesce("note_type", F.lit("")) != "index"))).join(linked, "stem", "left_anti").select("note_id", "path")
 
 
 def weak_notes(notes: DataFrame, least: int = 2) -> DataFrame:
-    """note_id, degree of notes, indexes apart, with fewer than `least` links in (distinct sources) and out (distinct targets) together."""
-    out = link_occurrences(notes).groupBy("note_id").agg(F.count_distinct("target").alias("n_out"))
+    """note_id, degree of notes, indexes apart, with fewer than `least` links in (distinct sources) and out (occurrences) together."""
+    out = link_occurrences(notes).groupBy("note_id").agg(F.count("*").alias("n_out"))
     own = with_stem(notes.filter("coalesce(note_type, '') <> 'index'")).select("note_id", "stem")
     degree = F.coalesce("n_out", F.lit(0)) + F.coalesce("n_sources", F.lit(0))
     return own.join(inbound(notes).select("stem", "n_sources"), "stem", "left").join(out, "note_id", "left").select("note_id", degree.alias("degree")).filter(F.col("degree") < least)
@@ -189,9 +190,10 @@ def registry_stats(notes: DataFrame) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in ("n_notes", "n_links", "n_categories", "n_sources")])
 
 
-def missing_metadata(notes: DataFrame) -> DataFrame:
-    """note_id, missing of notes without a type, title or status."""
-    missing = F.array_compact(F.array(*[F.when(F.coalesce(F.col(c), F.lit("")) == "", c) for c in ("note_type", "title", "status")]))
+def missing_metadata(notes: DataFrame, text: str, fields: tuple[str, ...] = ("type",)) -> DataFrame:
+    """note_id, missing of notes whose front matter lines (text) lack a field; one that is there but empty is no case."""
+    names = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: md.strip(F.substring_index(x, ":", 1)))
+    missing = F.filter(F.array(*map(F.lit, fields)), lambda f: ~F.array_contains(names, f))
     return notes.select("note_id", F.array_join(missing, ",").alias("missing")).filter("missing <> ''")
 
 
@@ -202,22 +204,30 @@ def duplicate_concepts(notes: DataFrame) -> DataFrame:
 
 
 def uncovered_sources(raws: DataFrame, notes: DataFrame) -> DataFrame:
-    """path of raw sources that no note names."""
-    named = page_sources(notes).select(F.col("source").alias("path")).distinct()
+    """path of raw sources that no note has as its source_path."""
+    named = notes.select(F.col("source_path").alias("path")).filter("path is not null").distinct()
     return raws.filter("removed_at is null and path is not null").select("path").distinct().join(named, "path", "left_anti")
 
 
-def stale_summaries(raws: DataFrame, notes: DataFrame) -> DataFrame:
-    """note_id, path of notes older than the raw source they name, as it is now there."""
-    now = raws.filter("removed_at is null").groupBy(F.col("path").alias("source_path")).agg(F.max("ingested_at").alias("ingested_at"))
-    return notes.filter("source_path is not null").join(now, "source_path").filter("ingested_at > mtime").select("note_id", "path")
+def sources_without_pages(raws: DataFrame, notes: DataFrame) -> DataFrame:
+    """path of raw sources from which no page was made: none names them among its page_sources."""
+    made = notes.select(F.explode("page_sources").alias("path")).filter("path is not null").distinct()
+    return raws.filter("removed_at is null and path is not null").select("path").distinct().join(made, "path", "left_anti")
+
+
+def stale_summaries(pages: DataFrame, tracked: DataFrame) -> DataFrame:
+    """page_id, path of pages (page_id, path, source_path, source_hash) whose hash isn't the tracked one of their source (source_path, hash).
+
+    A source without a hash, or one that isn't there, makes nothing stale; a null source_hash differs from every other.
+    """
+    now = tracked.filter("coalesce(hash, '') <> ''").groupBy("source_path").agg(F.max("hash").alias("hash"))
+    return pages.join(now, "source_path").filter(~F.coalesce(F.col("source_hash") == F.col("hash"), F.lit(False))).select("page_id", "path")
 
 
 def stale_indexes(notes: DataFrame) -> DataFrame:
-    """category, newest_index, newest_note of categories whose index notes are all older than another note."""
-    is_index = F.col("note_type") == "index"
-    each = notes.filter("coalesce(category, '') <> ''").groupBy("category").agg(F.max(F.when(is_index, F.col("mtime"))).alias("newest_index"), F.max(F.when(~F.coalesce(is_index, F.lit(False)), F.col("mtime"))).alias("newest_note"))
-    return each.filter("newest_index < newest_note")
+    """note_id, path of index notes older than the newest note of all."""
+    newest = notes.agg(F.max("mtime")).first()[0]  # one value
+    return notes.filter(F.col("note_type") == "index").filter(F.col("mtime") < F.lit(newest)).select("note_id", "path")
 
 
 def missing_concepts(notes: DataFrame) -> DataFrame:

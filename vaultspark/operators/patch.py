@@ -19,18 +19,20 @@ def validated(patches: DataFrame, candidates: DataFrame) -> DataFrame:
     """The patches with `errors` (empty = valid). Candidates are looked up by distinct ids, unknown ids being an error."""
     known = candidates.select("candidate_id").distinct().withColumn("_known", F.lit(True))
     p, op = F.col("payload"), F.col("operation")
+    holed = lambda items: F.coalesce(F.exists(items, lambda x: x.isNull()), F.lit(False))
     missing = F.coalesce(F.col("candidate_id"), F.lit("")) == ""
     errors = F.array_compact(
         F.array(
-            F.when(missing, "missing candidate_id"),
-            F.when(~F.coalesce(op.isin(OPERATIONS), F.lit(False)), F.concat(F.lit("unsupported operation: "), F.coalesce(op, F.lit("null")))),
-            F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence must be a number between 0 and 1"),
-            F.when(p.isNull(), "payload must be an object"),
-            F.when(~missing & F.col("_known").isNull(), "candidate_id not found"),
-            F.when((op == "replace_block") & p["replacement"].isNull(), "replace_block requires replacement"),
-            F.when((op == "wrap_code_block") & p["content"].isNull(), "wrap_code_block requires content"),
-            F.when((op == "replace_with_table") & (F.coalesce(F.size(p["header"]), F.lit(-1)) < 1), "replace_with_table requires header"),
-            F.when((op == "replace_with_table") & p["cell_rows"].isNull(), "replace_with_table requires rows"),
+            F.when(missing, "no candidate is named"),
+            F.when(~F.coalesce(op.isin(OPERATIONS), F.lit(False)), F.concat(F.lit("unknown operation "), F.coalesce(op, F.lit("null")))),
+            F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence is not within 0 and 1"),
+            F.when(p.isNull(), "no payload"),
+            F.when(~missing & F.col("_known").isNull(), "candidate is unknown"),
+            F.when((op == "replace_block") & p["replacement"].isNull(), "replacement is missing"),
+            F.when((op == "wrap_code_block") & p["content"].isNull(), "content is missing"),
+            F.when((op == "replace_with_table") & ((F.coalesce(F.size(p["header"]), F.lit(-1)) < 1) | holed(p["header"])), "header is missing or has a null cell"),
+            F.when((op == "replace_with_table") & (p["cell_rows"].isNull() | holed(p["cell_rows"])), "rows are missing or one is null"),
+            F.when((op == "drop_noise_lines") & holed(p["noise_lines"]), "a noise line is null"),
         )
     )
     return patches.join(known, "candidate_id", "left").withColumn("errors", errors).drop("_known")
@@ -49,6 +51,12 @@ def approved(valid: DataFrame, approve_all: bool = False, min_confidence: float
     return valid.filter((F.size("errors") == 0) & ok)
 
 
+def batches(valid: DataFrame, batch: Column) -> DataFrame:
+    """batch, n_patches, n_invalid, accepted of each batch of validated patches; one invalid patch rejects its batch."""
+    counted = valid.groupBy(batch.alias("batch")).agg(F.count("*").alias("n_patches"), F.count_if(F.size("errors") > 0).alias("n_invalid"))
+    return counted.withColumn("accepted", F.col("n_invalid") == 0)
+
+
 def latest(patches: DataFrame) -> DataFrame:
     """One row for each patch key: the patch queued last, its position breaking ties. Hot keys are reduced before they are moved."""
     columns = patches.columns
@@ -66,7 +74,7 @@ def rendered() -> Column:
         F.when(op == "replace_block", edge(p["replacement"]))
         .when(op == "wrap_code_block", F.concat(F.lit("```"), F.coalesce(p["code_language"], F.lit("text")), F.lit("\n"), edge(p["content"]), F.lit("\n```")))
         .when(op == "replace_with_table", md.table(p["header"], p["cell_rows"]))
-        .when(op == "join_lines", F.coalesce(edge(p["replacement"]), F.array_join(source, " ")))
+        .when(op == "join_lines", F.coalesce(edge(p["replacement"]), F.call_function("array_join", source, F.coalesce(p["separator"], F.lit(" ")))))
         .when(op == "drop_noise_lines", F.array_join(F.filter(F.transform(md.lines(F.col("target_excerpt")), lambda x: F.regexp_replace(x, f"[{md.SPACE}]+$", "")), lambda x: (md.strip(x) != "") & ~F.array_contains(noise, md.strip(x))), "\n"))
     )
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import md
 
-# Kinds of links that lead around a book; others are related pages.
+# A summary's callout; kinds of links that lead around a book, others are related pages.
+OLD_CALLOUT = r"(?i)> \[!tldr\][^\n]*\n(?:>[^\n]*\n)*"
 AROUND = {"previous": "Previous", "next": "Next", "parent": "Up"}
 
 
@@ -39,16 +40,20 @@ def with_links(pages: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def with_summary(content: Column, summary: Column, mode: str = "callout") -> Column:
-    """A page with its summary as a callout below the front matter, or as a front matter field in place of one it has. An empty or null summary changes nothing."""
+    """A page with its summary as a callout below the front matter in place of those it has, or as the last front matter field in place of one.
+
+    An empty or null summary changes nothing, nor does a field for a page without front matter.
+    """
+    if mode == "callout":
+        content = F.when(F.coalesce(md.strip(summary), F.lit("")) == "", content).otherwise(F.regexp_replace(content, OLD_CALLOUT, ""))
     front = front_block(content)
     rest = F.substr(content, F.length(front) + 1)
     none = F.coalesce(md.strip(summary), F.lit("")) == ""
     if mode == "callout":
         return F.when(none, content).otherwise(F.concat(front, F.lit("> [!tldr]\n> "), F.replace(summary, F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), rest))
     field = F.concat(F.lit('summary: "'), F.replace(F.replace(summary, F.lit("\n"), F.lit(" ")), F.lit('"'), F.lit('\\"')), F.lit('"'))
-    old = F.regexp_extract(front, r"(?m)^summary:[^\r\n]*", 0)
-    put = F.when(front == "", F.concat(F.lit("---\n"), field, F.lit("\n---\n"))).when(old == "", F.regexp_replace(front, r"\A---[ \t]*\r?\n", "---\n\x01\n")).otherwise(F.replace(front, old, F.lit("\x01")))
-    return F.when(none, content).otherwise(F.concat(F.replace(put, F.lit("\x01"), field), rest))
+    kept = F.regexp_replace(F.regexp_replace(F.regexp_extract(content, md.FRONT, 1), r"(?m)^summary:[^\r\n]*(?:\r?\n|\z)", ""), r"\s+\z", "")
+    return F.when(none | (front == ""), content).otherwise(F.concat(F.lit("---\n"), kept, F.lit("\n"), field, F.lit("\n---\n"), rest))
 
 
 def with_fields(content: Column, fields: list[tuple[str, Column]]) -> Column:

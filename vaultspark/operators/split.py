@@ -5,8 +5,10 @@ A text's lines stay in its row: boundaries, the order-dependent fold and the sec
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,42 @@ PATTERNS = [
     (r"^##\s+", "heading2"),
     (r"^###\s+", "heading3"),
 ]
-#: Pattern sets that a corpus may be split by, each a subset of the types above.
-PATTERN_SETS = {"regulatory": ["part", "chapter", "appendix"], "technical": ["section", "code"], "markdown": ["heading1", "heading2", "heading3"]}
+# Pattern sets that a text may be split by.
+PATTERN_SETS = {
+    "regulatory": [
+        (r"^第[一二三四五六七八九十百零\d]+部[分]?\s", "part"),
+        (r"^第[一二三四五六七八九十百零\d]+章\s", "chapter"),
+        (r"^第[一二三四五六七八九十百零\d]+節\s", "section"),
+        (r"^第[一二三四五六七八九十百零\d]+條", "article"),
+        (r"^附表[一二三四五六七八九十\d]*", "appendix_table"),
+        (r"^附錄[一二三四五六七八九十\d]*", "appendix_doc"),
+        (r"^LD-[A-Z0-9]+-\d+", "ref_code_LD"),
+        (r"^GL-[A-Z0-9]+-\d+", "ref_code_GL"),
+    ],
+    "technical": [
+        (r"^Part\s+(\d+|[IVXLC]+)[.:\s]", "part"),
+        (r"^Chapter\s+(\d+|[IVXLC]+)[.:\s]", "chapter"),
+        (r"^Section\s+\d+(\.\d+)*[.:\s]", "section"),
+        (r"^\d+(\.\d+)+\s+[A-Z]", "numbered"),
+        (r"^Appendix\s+[A-Z\d]+[.:\s]", "appendix"),
+        (r"^Annex\s+[A-Z\d]+[.:\s]", "annex"),
+        (r"^Schedule\s+[A-Z\d]+[.:\s]", "schedule"),
+    ],
+    "academic": [
+        (r"^(Abstract|摘要)[:\s]?", "abstract"),
+        (r"^(\d+\.?\s+)?(Introduction|引言|前言|緒論)", "introduction"),
+        (r"^(\d+\.?\s+)?(Literature Review|Related Work|文獻回顧)", "lit_review"),
+        (r"^(\d+\.?\s+)?(Methodology|Methods|研究方法)", "methodology"),
+        (r"^(\d+\.?\s+)?(Results|Findings|研究結果)", "results"),
+        (r"^(\d+\.?\s+)?(Discussion|討論)", "discussion"),
+        (r"^(\d+\.?\s+)?(Conclusion[s]?|結論)", "conclusion"),
+        (r"^(References|Bibliography|參考文獻)", "references"),
+        (r"^(Acknowledgments?|致謝)", "acknowledgments"),
+    ],
+    "markdown": [(r"^# (?!#)", "h1"), (r"^## (?!#)", "h2"), (r"^### (?!#)", "h3"), (r"^#### (?!#)", "h4"), (r"^(-{3,}|_{3,}|\*{3,})\s*$", "hr")],
+}
+#: Lines of a piece where no pattern set fits, and least and most characters of one.
+FIXED_LINES, LEAST_CHARS, MOST_CHARS = 500, 200, 8000
 MIN_LINES, MAX_LINES = 20, 5000
 
 
@@ -46,7 +82,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def boundary_array(lines: Column, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
     """(line from 0, type, title) of the boundary lines."""
-    marked = F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("#")), F.struct(i.alias("line"), kind(x, patterns).alias("type"), md.strip(F.regexp_replace(x, r"^#+\s*", "")).alias("title"))))
+    any_ = "|".join(f"(?:{regex})" for regex, _ in patterns)
+    marked = F.transform(lines, lambda x, i: F.when(x.rlike(any_), F.struct(i.alias("line"), kind(x, patterns).alias("type"), md.strip(F.regexp_replace(x, r"^#+\s*", "")).alias("title"))))
     return F.filter(marked, lambda b: b["type"].isNotNull())
 
 
@@ -90,13 +127,77 @@ def chapters(texts: DataFrame, key: str, text: str, min_lines: int = MIN_LINES,
     return rows.select(key, F.explode(cut).alias("s")).select(key, "s.*")
 
 
+def chosen_set(lines: Column, n_lines: int = 100) -> Column:
+    """Name of the pattern set with most matches in the first lines: special sets before Markdown's, ties by name; `lines` where none matches."""
+    head = F.slice(lines, 1, n_lines)
+
+    def hits(name: str) -> Column:
+        any_ = "|".join(f"(?:{r})" for r, _ in PATTERN_SETS[name])
+        return F.size(F.filter(head, lambda x: x.rlike(any_)))
+
+    def votes(names: list[str]) -> Column:
+        return F.array_min(F.array(*[F.struct((-hits(name)).alias("n"), F.lit(name).alias("name")) for name in sorted(names)]))
+
+    special = votes([name for name in PATTERN_SETS if name != "markdown"])
+    fallback = votes(["markdown"])
+    return F.when(special["n"] < 0, special["name"]).when(fallback["n"] < 0, "markdown").otherwise("lines")
+
+
 def pattern_set(texts: DataFrame, key: str, text: str, n_lines: int = 100) -> DataFrame:
-    """key, pattern_set: the set with most matches in the first lines, ties by name; texts without a match have no row."""
-    lined = spread(texts).filter(F.col(text).isNotNull()).select(key, F.slice(md.lines(F.col(text)), 1, n_lines).alias("lines"))
-    chosen = {name: [(r, t) for r, t in PATTERNS if t in types] for name, types in PATTERN_SETS.items()}
+    """key, pattern_set of every text that isn't null."""
+    return spread(texts).filter(F.col(text).isNotNull()).select(key, let(md.lines(F.col(text)), lambda lines: chosen_set(lines, n_lines)).alias("pattern_set"))
+
+
+def best_set(lines: list[str]) -> str:
+    """As chosen_set, of a text's first lines."""
+    hits = {name: sum(any(re.search(r, x) for r, _ in patterns) for x in lines) for name, patterns in PATTERN_SETS.items()}
+    special = min((-n, name) for name, n in hits.items() if name != "markdown")
+    return special[1] if special[0] else "markdown" if hits["markdown"] else "lines"
+
+
+def fitted_pieces(text: str) -> list[tuple[str, int, int, int, str, int]]:
+    """(pattern set, seq, first line, end line, type, characters) of each piece of a text."""
+    lines = text.splitlines()
+    name = best_set(lines[:100])
+    begins = [0]
+    for x in lines:
+        begins.append(begins[-1] + len(x) + 1)
+
+    def marks(name: str, first: int, end: int) -> list[tuple[int, str]]:
+        if name == "lines":
+            return [(k, "lines") for k in range(first, end, FIXED_LINES)]
+        found = ((k, next((t for r, t in PATTERN_SETS[name] if re.search(r, lines[k])), None)) for k in range(first, end))
+        return [(k, t) for k, t in found if t]
+
+    def pieces(name: str, first: int, end: int, kind_: str) -> list[tuple[int, int, str]]:
+        kept = [(first, kind_)]
+        for k, t in marks(name, first, end):
+            if k == first:
+                kept[0] = (k, t)
+            elif begins[k] - begins[kept[-1][0]] >= LEAST_CHARS:
+                kept.append((k, t))
+        return [(k, e, t) for (k, t), e in zip(kept, [*(k for k, _ in kept[1:]), end])]
+
+    out = []
+    for first, end, t in pieces(name, 0, len(lines), "preamble") if lines else ():
+        weaker = name not in ("markdown", "lines") and begins[end] - begins[first] > MOST_CHARS
+        out += pieces("markdown", first, end, t) if weaker else [(first, end, t)]
+    return [(name, n, first, end, t, begins[end] - begins[first]) for n, (first, end, t) in enumerate(out, 1)]
+
+
+def fitted(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pattern_set, seq, first_line, end_line, type, n_chars of the pieces of every text, by the pattern set that fits it.
+
+    A boundary counts if LEAST_CHARS or more characters lie between it and the last one kept; pieces above MOST_CHARS are cut at
+    Markdown boundaries too, where another set was chosen. Texts that no set fits are cut every FIXED_LINES lines. Line ends count as
+    one character. A null text or one without lines has no piece.
+    """
+    schema = "pattern_set string, seq int, first_line int, end_line int, type string, n_chars int"
 
-    def matches(patterns: list[tuple[str, str]]) -> Column:
-        return F.size(F.filter("lines", lambda x: kind(x, patterns).isNotNull()))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, *piece) for k, t in zip(batch[key], batch[text]) for piece in fitted_pieces(t)]
+            yield pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in schema.split(", ")]])
 
-    votes = F.array_sort(F.array(*[F.struct((-matches(p)).alias("n"), F.lit(name).alias("name")) for name, p in sorted(chosen.items())]))
-    return lined.select(key, votes[0].alias("best")).filter("best.n < 0").select(key, F.col("best.name").alias("pattern_set"))
+    rows = spread(texts.select(key, text)).filter(F.col(text).isNotNull())
+    return rows.mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, {schema}")

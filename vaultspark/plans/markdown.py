@@ -54,16 +54,20 @@ def _concepts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
+    """Each text against its source; every seventh source is taken as ten times its text, every eleventh text as one of another encoding."""
     n_lines = F.size(md.lines(T()))
     checks = F.array_compact(
         F.array(
-            F.when(md.strip(T()) == "", "empty"),
+            F.when(n_lines == 0, "empty"),
             F.when(T().rlike("\ufffd{3,}"), "garbled"),
-            F.when((n_lines < 3) & (F.octet_length("text") > 1000), "few_lines"),
-            F.when(F.size(F.split("text", r"\[\[", -1)) != F.size(F.split("text", r"\]\]", -1)), "unbalanced_links"),
+            F.when((n_lines < 3) & (F.col("size") > 10_000), "few_lines"),
+            F.when(~F.is_valid_utf8(F.col("raw")), "other_encoding"),
         )
     )
-    return _texts(spark, d).select("doc_id", F.array_join(checks, ",").alias("warnings")).filter("warnings <> ''")
+    size = F.octet_length("text") * F.when(F.col("doc_id") % 7 == 0, 10).otherwise(1)
+    raw = F.when(F.col("doc_id") % 11 == 0, F.concat(F.unhex(F.lit("E9")), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    read = _texts(spark, d).withColumns({"size": size, "raw": raw.cast("string")})
+    return read.select("doc_id", F.array_join(checks, ",").alias("warnings")).filter("warnings <> ''")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,7 +99,7 @@ FROM (SELECT doc_id, unnest({S.front_lines('text')}) AS line {_FROM})""",
     "content_hash": f"SELECT doc_id, sha256(text) AS sha256, left(sha1(text), 12) AS short_hash {_FROM}",
     "concept_candidates": f"SELECT note_id, array_to_string({S.concept_candidates('title', 'coalesce(headings, [])')}, chr(10)) AS candidates FROM vault_registry WHERE title IS NOT NULL",
     "quality_check": f"""
-SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN {S.strip('text')} = '' THEN 'empty' END, CASE WHEN regexp_matches(text, '\\x{{fffd}}{{3,}}') THEN 'garbled' END,
-  CASE WHEN len({S.lines('text')}) < 3 AND strlen(text) > 1000 THEN 'few_lines' END,
-  CASE WHEN len(string_split(text, '[[')) <> len(string_split(text, ']]')) THEN 'unbalanced_links' END) AS warnings {_FROM}) WHERE warnings <> ''""",
+SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN len({S.lines('text')}) = 0 THEN 'empty' END, CASE WHEN regexp_matches(text, '\\x{{fffd}}{{3,}}') THEN 'garbled' END,
+  CASE WHEN len({S.lines('text')}) < 3 AND strlen(text) * CASE WHEN doc_id % 7 = 0 THEN 10 ELSE 1 END > 10000 THEN 'few_lines' END,
+  CASE WHEN doc_id % 11 = 0 THEN 'other_encoding' END) AS warnings {_FROM}) WHERE warnings <> ''""",
 }

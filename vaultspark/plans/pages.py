@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,20 @@ def _pattern_set(spark: SparkSession, d: str) -> DataFrame:
     return split.pattern_set(_docs(spark, d), "doc_id", "text")
 
 
+def _by_set(spark: SparkSession, d: str) -> DataFrame:
+    """Boundaries of every text by each of the pattern sets."""
+    parts = [split.boundaries(_docs(spark, d), "doc_id", "text", patterns).select("doc_id", F.lit(name).alias("pattern_set"), "line", "type") for name, patterns in split.PATTERN_SETS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fitted(spark: SparkSession, d: str) -> DataFrame:
+    return split.fitted(_docs(spark, d), "doc_id", "text")
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    return patch.batches(_validated(spark, d), F.date_format("queued_at", "yyyy-MM-dd"))
+
+
 def _layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.candidates(table(spark, d, "layout_candidates"), "candidate_id", "source_excerpt")
 
@@ -140,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_chapters": _chapters,
     "oversized_sections": _oversized,
     "pattern_set_select": _pattern_set,
+    "boundaries_by_set": _by_set,
+    "fitted_pieces": _fitted,
+    "patch_batches": _batches,
     "layout_table_runs": _risk("table_fragment"),
     "layout_chart_runs": _risk("chart_block"),
     "layout_short_runs": _risk("short_column_relation"),
@@ -167,6 +185,10 @@ fold AS (SELECT doc_id, k, line, type, title, line AS anchor, true AS kept FROM
 starts AS (SELECT doc_id, line, type, title FROM fold WHERE kept UNION ALL SELECT doc_id, 0, 'preamble', 'preamble' FROM fold WHERE k = 1 AND line > 0),
 secs AS (SELECT s.doc_id, lpad(CAST(row_number() OVER w AS VARCHAR), 2, '0') AS seq, s.line AS first_line, CAST(coalesce(lead(s.line) OVER w, len(l)) AS INTEGER) AS end_line, type, title, l FROM starts s JOIN lined USING (doc_id) WINDOW w AS (PARTITION BY s.doc_id ORDER BY s.line))
 """
+# RE2 has no lookahead; after `# ` another # can only be told by what follows
+_SQL_SETS = {name: [(r.replace("(?!#)", "([^#]|$)"), t) for r, t in patterns] for name, patterns in split.PATTERN_SETS.items()}
+_ANY = {name: "(" + " OR ".join(f"regexp_matches(x, '{r}')" for r, _ in patterns) + ")" for name, patterns in _SQL_SETS.items()}
+_TYPED = {name: "CASE " + " ".join(f"WHEN regexp_matches(x, '{r}') THEN '{t}'" for r, t in patterns) + " END" for name, patterns in _SQL_SETS.items()}
 _HEADING, _ITEM = r"^\s{0,3}#{1,6}\s+", r"^\s*(?:[-*•]\s+|\d+[.)、]\s+|[一二三四五六七八九十]+[、.)])"
 _NOISE = r"^\s*(?:\d+|Page\s+\d+|第\s*\d+\s*页|[-_=]{2,}|[·•])\s*$"
 _CHART = ", ".join(f"'{c}'" for c in sorted(layout.CHART))
@@ -198,15 +220,16 @@ _LISTED = f"""
 _PATCH = """
 WITH known AS (SELECT DISTINCT candidate_id FROM layout_candidates),
 v AS (SELECT p.*, concat_ws('; ',
-  CASE WHEN coalesce(p.candidate_id, '') = '' THEN 'missing candidate_id' END,
-  CASE WHEN NOT coalesce(operation IN ('replace_block', 'wrap_code_block', 'replace_with_table', 'join_lines', 'drop_noise_lines'), false) THEN 'unsupported operation: ' || coalesce(operation, 'null') END,
-  CASE WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence must be a number between 0 and 1' END,
-  CASE WHEN payload IS NULL THEN 'payload must be an object' END,
-  CASE WHEN coalesce(p.candidate_id, '') <> '' AND k.candidate_id IS NULL THEN 'candidate_id not found' END,
-  CASE WHEN operation = 'replace_block' AND payload.replacement IS NULL THEN 'replace_block requires replacement' END,
-  CASE WHEN operation = 'wrap_code_block' AND payload.content IS NULL THEN 'wrap_code_block requires content' END,
-  CASE WHEN operation = 'replace_with_table' AND coalesce(len(payload.header), 0) < 1 THEN 'replace_with_table requires header' END,
-  CASE WHEN operation = 'replace_with_table' AND payload.cell_rows IS NULL THEN 'replace_with_table requires rows' END) AS errors
+  CASE WHEN coalesce(p.candidate_id, '') = '' THEN 'no candidate is named' END,
+  CASE WHEN NOT coalesce(operation IN ('replace_block', 'wrap_code_block', 'replace_with_table', 'join_lines', 'drop_noise_lines'), false) THEN 'unknown operation ' || coalesce(operation, 'null') END,
+  CASE WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence is not within 0 and 1' END,
+  CASE WHEN payload IS NULL THEN 'no payload' END,
+  CASE WHEN coalesce(p.candidate_id, '') <> '' AND k.candidate_id IS NULL THEN 'candidate is unknown' END,
+  CASE WHEN operation = 'replace_block' AND payload.replacement IS NULL THEN 'replacement is missing' END,
+  CASE WHEN operation = 'wrap_code_block' AND payload.content IS NULL THEN 'content is missing' END,
+  CASE WHEN operation = 'replace_with_table' AND (coalesce(len(payload.header), 0) < 1 OR len(list_filter(payload.header, lambda x: x IS NULL)) > 0) THEN 'header is missing or has a null cell' END,
+  CASE WHEN operation = 'replace_with_table' AND (payload.cell_rows IS NULL OR len(list_filter(payload.cell_rows, lambda x: x IS NULL)) > 0) THEN 'rows are missing or one is null' END,
+  CASE WHEN operation = 'drop_noise_lines' AND len(list_filter(payload.noise_lines, lambda x: x IS NULL)) > 0 THEN 'a noise line is null' END) AS errors
   FROM patch_queue p LEFT JOIN known k ON k.candidate_id = p.candidate_id)
 """
 _KEY = "coalesce(nullif(patch_id, ''), concat_ws(':', candidate_id, operation))"
@@ -234,9 +257,14 @@ SELECT f.slug, CAST(coalesce(version, 0) + CASE WHEN l.hash = f.hash THEN 0 ELSE
     "split_chapters": f"WITH RECURSIVE {_BOUNDS} SELECT doc_id, seq, first_line, end_line, type, title, array_to_string(list_slice(l, first_line + 1, end_line), chr(10)) AS body FROM secs",
     "oversized_sections": f"WITH RECURSIVE {_BOUNDS} SELECT doc_id, seq, end_line - first_line AS n_lines FROM secs WHERE end_line - first_line > 15",
     "pattern_set_select": f"""
-WITH RECURSIVE {_BOUNDS}, votes AS (SELECT doc_id, CASE WHEN type IN ('part', 'chapter', 'appendix') THEN 'regulatory' WHEN type IN ('section', 'code') THEN 'technical' ELSE 'markdown' END AS s FROM bounds WHERE line < 100 AND NOT starts_with(type, 'heading')
-  UNION ALL SELECT doc_id, 'markdown' FROM each WHERE line < 100 AND regexp_matches(x, '^#{{1,3}}\\s+'))
-SELECT doc_id, arg_min(s, -n * 1000 + ascii(s)) AS pattern_set FROM (SELECT doc_id, s, count(*) AS n FROM votes GROUP BY ALL) GROUP BY doc_id""",
+WITH lined AS (SELECT doc_id, list_slice({S.lines('text')}, 1, 100) AS l FROM documents WHERE text IS NOT NULL),
+votes AS (SELECT doc_id, {', '.join(f"len(list_filter(l, lambda x: {_ANY[name]})) AS {name}" for name in split.PATTERN_SETS)} FROM lined)
+SELECT doc_id, CASE WHEN greatest(academic, regulatory, technical) > 0 THEN CASE WHEN academic >= greatest(regulatory, technical) THEN 'academic' WHEN regulatory >= technical THEN 'regulatory' ELSE 'technical' END
+       WHEN markdown > 0 THEN 'markdown' ELSE 'lines' END AS pattern_set FROM votes""",
+    "boundaries_by_set": f"""
+WITH raw AS (SELECT doc_id, {S.lines('text')} AS l FROM documents WHERE text IS NOT NULL), each AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line, unnest(l) AS x FROM raw)
+{" UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern_set, line, {_TYPED[name]} AS type FROM each WHERE {_ANY[name]}" for name in split.PATTERN_SETS)}""",
+    "patch_batches": _PATCH + "SELECT strftime(queued_at, '%Y-%m-%d') AS batch, count(*) AS n_patches, count(*) FILTER (errors <> '') AS n_invalid, count(*) FILTER (errors <> '') = 0 AS accepted FROM v GROUP BY 1",
     "layout_table_runs": _LINES + _islands("n >= 3 AND list_max(list_transform(c, lambda x: length(x))) <= 12 AND fit", f", {_CELLS} AS c, len({_CELLS}) AS n") + """
 , ends AS (SELECT *, last_value(n) OVER w AS last_n, max(no) OVER w AS last FROM island WINDOW w AS (PARTITION BY candidate_id, g ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 tail AS (SELECT candidate_id, g, last, coalesce(max(no) FILTER (n <> last_n), min(no) - 1) + 1 AS first FROM ends GROUP BY candidate_id, g, last)
@@ -253,7 +281,7 @@ SELECT candidate_id, CAST(no AS INTEGER) AS start_line, CAST(max(p_no) FILTER (t
 , begun AS (SELECT *, min(CASE WHEN item THEN no END) OVER (PARTITION BY candidate_id, g) AS first FROM island)
 SELECT candidate_id, CAST(first AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM begun WHERE first IS NOT NULL GROUP BY candidate_id, g, first HAVING count(*) FILTER (no > first AND length(t) <= 4) >= 2""",
     "layout_dedupe": f"""
-SELECT candidate_id FROM (SELECT candidate_id, row_number() OVER (PARTITION BY chapter_path, risk_type, array_to_string(list_filter({S.stripped_lines('source_excerpt')}, lambda x: x <> ''), chr(10)) ORDER BY confidence DESC, start_line, candidate_id) AS k FROM layout_candidates) WHERE k = 1""",
+SELECT candidate_id FROM (SELECT candidate_id, row_number() OVER (PARTITION BY chapter_path, risk_type, array_to_string(list_filter(list_transform({S.stripped_lines('source_excerpt')}, lambda x: regexp_replace(x, '[{S.SPACE}]+', ' ', 'g')), lambda x: x <> ''), chr(10)) ORDER BY confidence DESC, start_line, candidate_id) AS k FROM layout_candidates) WHERE k = 1""",
     "layout_counts": "SELECT risk_type, chapter_path, count(*) AS n FROM layout_candidates GROUP BY GROUPING SETS ((risk_type), (chapter_path))",
     "patch_validate": _PATCH + "SELECT queue_pos, errors FROM v WHERE errors <> ''",
     "patch_approve": _PATCH + "SELECT queue_pos FROM v WHERE errors = '' AND (approved OR confidence >= 0.8)",

@@ -45,7 +45,7 @@ def _distilled(spark: SparkSession, d: str) -> DataFrame:
 
 def _health(spark: SparkSession, d: str) -> DataFrame:
     notes, raws = table(spark, d, "vault_registry"), table(spark, d, "raw_sources")
-    checks = {"missing metadata": N.missing_metadata(notes), "orphan notes": N.orphan_notes(notes), "broken links": N.broken_links(notes), "weak notes": N.weak_notes(notes), "duplicate concepts": N.duplicate_concepts(notes), "uncovered sources": N.uncovered_sources(raws, notes), "stale indexes": N.stale_indexes(notes)}
+    checks = {"missing metadata": N.missing_metadata(notes, F.col("frontmatter")), "orphan notes": N.orphan_notes(notes), "broken links": N.broken_links(notes), "weak notes": N.weak_notes(notes), "duplicate concepts": N.duplicate_concepts(notes), "uncovered sources": N.uncovered_sources(raws, notes), "sources without pages": N.sources_without_pages(raws, notes), "stale indexes": N.stale_indexes(notes)}
     counts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check_name"), "n") for name, rows in checks.items()]
     return reduce(DataFrame.unionByName, counts)
 
@@ -79,8 +79,13 @@ l AS (SELECT src, string_agg('- ' || CASE kind WHEN 'previous' THEN 'Previous' W
   FROM o JOIN p ON p.stem = o.src WHERE NOT contains(content, '[[' || dst || ']]') GROUP BY src)
 SELECT p.stem, CASE WHEN n IS NULL THEN content ELSE content || chr(10) || chr(10) || '## Navigation' || chr(10) || chr(10) || lines END AS content, CAST(coalesce(n, 0) AS INTEGER) AS n_added FROM p LEFT JOIN l ON l.src = p.stem""",
     "summary_injection": f"""
-WITH d AS (SELECT doc_id, text, {S.summary('text', 80)} AS s, {_FRONT} AS front, {_REST} AS rest FROM documents WHERE text IS NOT NULL)
+WITH s AS (SELECT doc_id, text, {S.summary('text', 80)} AS s FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, s, CASE WHEN s = '' THEN text ELSE regexp_replace(text, '(?i)> \\[!tldr\\][^\\n]*\\n(?:>[^\\n]*\\n)*', '', 'g') END AS text FROM s),
+d AS (SELECT *, {_FRONT} AS front, {_REST} AS rest FROM c)
 SELECT doc_id, CASE WHEN s = '' THEN text ELSE front || '> [!tldr]' || chr(10) || '> ' || s || chr(10) || chr(10) || rest END AS content FROM d""",
+    "summary_field": f"""
+WITH d AS (SELECT doc_id, text, {S.summary('text', 80)} AS s, {_FRONT} AS front, {_REST} AS rest, regexp_extract(text, $${S.FRONT}$$, 1) AS inn FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN s = '' OR front = '' THEN text ELSE '---' || chr(10) || regexp_replace(regexp_replace(inn, '(?m)^summary:[^\\r\\n]*(?:\\r?\\n|\\z)', '', 'g'), '\\s+\\z', '') || chr(10) || 'summary: "' || replace(s, '"', '\\"') || '"' || chr(10) || '---' || chr(10) || rest END AS content FROM d""",
     "chapter_fields": f"""
 WITH d AS (SELECT doc_id, text, source, path, {_FRONT} AS front, {_REST} AS rest, regexp_extract(text, $${S.FRONT}$$, 1) AS inn FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CASE WHEN front = '' THEN text ELSE array_to_string(['---', inn, 'source_file: "' || coalesce(source, '') || '"', 'path: "' || coalesce(path, '') || '"', '---', rest], chr(10)) END AS content FROM d""",
@@ -96,5 +101,6 @@ def _count(name: str, query: str) -> str:
     return f"SELECT '{name}' AS check_name, (SELECT count(*) FROM ({VAULT[query]})) AS n"
 
 
-_CHECKS = {"missing metadata": "health_missing_metadata", "orphan notes": "orphan_notes", "broken links": "broken_links", "weak notes": "weak_links", "duplicate concepts": "duplicate_concepts", "uncovered sources": "summary_gaps", "stale indexes": "stale_indexes"}
+_CHECKS = {"missing metadata": "health_missing_metadata", "orphan notes": "orphan_notes", "broken links": "broken_links", "weak notes": "weak_links", "duplicate concepts": "duplicate_concepts", "uncovered sources": "summary_gaps", "sources without pages": "coverage_gaps", "stale indexes": "stale_indexes"}
 ORACLE["health_counts"] = " UNION ALL ".join(_count(n, q) for n, q in _CHECKS.items())
+ORACLE["health_report"] = f"SELECT '# Health' || chr(10) || chr(10) || string_agg('- ' || check_name || ': ' || n, chr(10) ORDER BY check_name) || chr(10) AS content FROM ({ORACLE['health_counts']})"

@@ -60,6 +60,14 @@ def _contract(spark: SparkSession, d: str) -> DataFrame:
     return N.contract_violations(notes.select("note_id", F.concat(F.lit("[["), F.col("title"), end, F.col("path"), F.lit(")")).alias("text")), "note_id", "text")
 
 
+def _stale(spark: SparkSession, d: str) -> DataFrame:
+    """Summary notes hold the hash that their source had when they were written; it is compared with the raw hash there now."""
+    raws, notes = table(spark, d, "raw_sources"), table(spark, d, "vault_registry").filter("note_type = 'summary' and source_path is not null")
+    then = raws.select(F.col("path").alias("r_path"), "source_hash", "ingested_at")
+    pages = notes.join(then, (F.col("source_path") == F.col("r_path")) & (F.col("ingested_at") <= F.col("mtime")), "left").groupBy(F.col("note_id").alias("page_id"), "path", "source_path").agg(F.max("source_hash").alias("source_hash"))
+    return N.stale_summaries(pages, raws.filter("removed_at is null").select(F.col("path").alias("source_path"), F.col("raw_hash").alias("hash")))
+
+
 def _delta(spark: SparkSession, d: str) -> DataFrame:
     raws = table(spark, d, "raw_sources")
     before = raws.filter("ingested_at < timestamp_ntz'2024-07-01 00:00:00'").select("path", F.col("raw_hash").alias("hash"))
@@ -156,10 +164,11 @@ QUERIES: dict[str, Query] = {
     "registry_notes": _notes(N.registry_notes),
     "registry_sources": _notes(N.page_sources),
     "registry_stats": _notes(N.registry_stats),
-    "health_missing_metadata": _notes(N.missing_metadata),
+    "health_missing_metadata": _notes(lambda notes: N.missing_metadata(notes, F.col("frontmatter"))),
     "duplicate_concepts": _notes(N.duplicate_concepts),
     "summary_gaps": _both(N.uncovered_sources),
-    "stale_summaries": _both(N.stale_summaries),
+    "coverage_gaps": _both(N.sources_without_pages),
+    "stale_summaries": _stale,
     "stale_indexes": _notes(N.stale_indexes),
     "lint_missing_concepts": _notes(N.missing_concepts),
     "lint_conflicts": _notes(lambda notes: N.concept_conflicts(C.concepts(notes))),
@@ -185,8 +194,9 @@ QUERIES: dict[str, Query] = {
 _FILES = r"""
 WITH files AS (
   SELECT path, byte_size AS size, regexp_replace(path, '^.*/', '') AS name, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END AS directory,
-         lower(regexp_extract(regexp_replace(path, '^.*/', ''), '(\.[^.]+)$', 1)) AS extension FROM raw_sources)
-"""
+         lower(regexp_extract(regexp_replace(path, '^.*/', ''), '(\.[^.]+)$', 1)) AS extension FROM raw_sources
+  WHERE len(list_filter(list_slice(string_split(path, '/'), 1, -2), lambda p: starts_with(p, '.') AND p NOT IN ('.', '..') OR p IN (IGNORED))) = 0)
+""".replace("IGNORED", ", ".join(f"'{name}'" for name in scan.IGNORED))
 _FORMATS = ", ".join(f"'{f}'" for f in scan.FORMATS)
 _LINKS = f"""
 WITH occ AS (
@@ -217,9 +227,9 @@ SELECT CASE WHEN r IS NULL THEN 'unknown' WHEN r > 0.5 THEN 'cjk' WHEN r > 0.1 T
     "large_files": _FILES + f"SELECT path, size, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576) ELSE printf('%.1f KB', size / 1024) END AS shown FROM files WHERE size > 51200 AND extension IN ({_FORMATS})",
     "inbound_links": _LINKS + "SELECT stem, n_links, n_sources FROM inb",
     "broken_links": _LINKS + "SELECT note_id, target, count(*) AS n FROM occ WHERE target NOT IN (SELECT stem FROM stems) GROUP BY ALL",
-    "orphan_notes": _LINKS + "SELECT note_id, path FROM stems WHERE coalesce(note_type, '') <> 'index' AND stem NOT IN (SELECT target FROM occ)",
+    "orphan_notes": _LINKS + "SELECT note_id, path FROM stems WHERE coalesce(note_type, '') <> 'index' AND stem NOT IN (SELECT target FROM occ) AND note_id NOT IN (SELECT note_id FROM occ)",
     "weak_links": _LINKS + """
-, outs AS (SELECT note_id, count(DISTINCT target) AS n_out FROM occ GROUP BY note_id)
+, outs AS (SELECT note_id, count(*) AS n_out FROM occ GROUP BY note_id)
 SELECT s.note_id, coalesce(n_out, 0) + n_sources AS degree FROM stems s JOIN inb USING (stem) LEFT JOIN outs o ON o.note_id = s.note_id WHERE coalesce(note_type, '') <> 'index' AND coalesce(n_out, 0) + n_sources < 2""",
     "stem_index": _LINKS + "SELECT stem, path, min(note_id) AS note_id FROM stems s WHERE path = (SELECT max(path) FROM stems t WHERE t.stem = s.stem) GROUP BY stem, path",
     "sibling_links": """
@@ -239,16 +249,20 @@ WHERE text IS NOT NULL AND length(title) >= 3 AND contains(text, title) AND NOT
     "registry_notes": _LINKS + "SELECT note_id, path, coalesce(title, s.stem) AS title, coalesce(note_type, '') AS note_type, coalesce(len(headings), 0) AS n_headings, coalesce(len(outbound_links), 0) AS n_outbound, n_links, n_sources FROM stems s JOIN inb USING (stem)",
     "registry_sources": f"WITH {_SOURCES} SELECT source, path FROM pages",
     "registry_stats": f"WITH {_SOURCES} SELECT count(*) AS n_notes, CAST(coalesce(sum(len(outbound_links)), 0) AS BIGINT) AS n_links, count(DISTINCT nullif(category, '')) AS n_categories, (SELECT count(DISTINCT source) FROM pages) AS n_sources FROM vault_registry",
-    "health_missing_metadata": "SELECT * FROM (SELECT note_id, concat_ws(',', CASE WHEN coalesce(note_type, '') = '' THEN 'note_type' END, CASE WHEN coalesce(title, '') = '' THEN 'title' END, CASE WHEN coalesce(status, '') = '' THEN 'status' END) AS missing FROM vault_registry) WHERE missing <> ''",
+    "health_missing_metadata": f"SELECT note_id, 'type' AS missing FROM vault_registry WHERE NOT list_contains(list_transform(string_split(coalesce(frontmatter, ''), chr(10)), lambda x: {S.strip("split_part(x, ':', 1)")}), 'type')",
     "duplicate_concepts": "SELECT lower(concept_key) AS concept, count(*) AS n, min(note_id) AS first_id FROM vault_registry WHERE note_type = 'concept' AND coalesce(concept_key, '') <> '' GROUP BY 1 HAVING count(*) > 1",
-    "summary_gaps": f"WITH {_SOURCES} SELECT DISTINCT path FROM raw_sources WHERE removed_at IS NULL AND path IS NOT NULL AND path NOT IN (SELECT source FROM pages)",
-    "stale_summaries": "SELECT note_id, v.path FROM vault_registry v JOIN (SELECT path, max(ingested_at) AS i FROM raw_sources WHERE removed_at IS NULL GROUP BY path) r ON r.path = v.source_path WHERE i > mtime",
-    "stale_indexes": """
-SELECT category, max(mtime) FILTER (note_type = 'index') AS newest_index, max(mtime) FILTER (coalesce(note_type, '') <> 'index') AS newest_note FROM vault_registry WHERE coalesce(category, '') <> '' GROUP BY category HAVING newest_index < newest_note""",
+    "summary_gaps": "SELECT DISTINCT path FROM raw_sources WHERE removed_at IS NULL AND path IS NOT NULL AND path NOT IN (SELECT source_path FROM vault_registry WHERE source_path IS NOT NULL)",
+    "coverage_gaps": "SELECT DISTINCT path FROM raw_sources WHERE removed_at IS NULL AND path IS NOT NULL AND path NOT IN (SELECT s FROM (SELECT unnest(page_sources) AS s FROM vault_registry) WHERE s IS NOT NULL)",
+    "stale_summaries": """
+WITH pages AS (SELECT v.note_id AS page_id, v.path, v.source_path, max(r.source_hash) AS source_hash FROM vault_registry v LEFT JOIN raw_sources r ON r.path = v.source_path AND r.ingested_at <= v.mtime WHERE v.note_type = 'summary' AND v.source_path IS NOT NULL GROUP BY ALL),
+now AS (SELECT path, max(raw_hash) AS hash FROM raw_sources WHERE removed_at IS NULL AND coalesce(raw_hash, '') <> '' GROUP BY path)
+SELECT page_id, p.path FROM pages p JOIN now n ON n.path = p.source_path WHERE NOT coalesce(source_hash = hash, false)""",
+    "stale_indexes": "SELECT note_id, path FROM vault_registry WHERE note_type = 'index' AND mtime < (SELECT max(mtime) FROM vault_registry)",
     "lint_missing_concepts": _LINKS + """
 SELECT replace(lower(h), ' ', '-') AS heading, count(*) AS n FROM (SELECT note_id, unnest(list_distinct(headings)) AS h FROM vault_registry) GROUP BY 1
 HAVING count(*) >= 2 AND heading NOT IN (SELECT stem FROM stems WHERE note_type = 'concept')""",
-    "lint_conflicts": "SELECT raw_id, path FROM raw_sources WHERE source_hash IS NOT NULL AND raw_hash <> source_hash",
+    "lint_conflicts": _CONCEPTS + "SELECT 'concept-pages-with-' || n || '-sources' AS conflict_group, n AS n_sources, key FROM (SELECT key, count(DISTINCT note_id) AS n FROM keyed GROUP BY key) WHERE n >= 2",
+    "lint_source_hashes": "SELECT raw_id, path FROM raw_sources WHERE source_hash IS NOT NULL AND raw_hash <> source_hash",
     "lint_cold": _LINKS + """
 SELECT path, note_id FROM stems WHERE mtime < TIMESTAMP '2024-01-01' AND coalesce(note_type, '') <> 'index'
 AND stem NOT IN (SELECT target FROM occ JOIN vault_registry USING (note_id) WHERE mtime >= TIMESTAMP '2024-01-01') ORDER BY path, note_id LIMIT 25""",
@@ -282,8 +296,7 @@ WITH d AS (SELECT path, {S.title('text', S.stem('path'))} AS title, sha256(text)
 SELECT 'wiki/summaries/' || {S.path_slug('path')} || '.md' AS path, array_to_string(['---', 'type: "summary"', 'title: "' || replace(title, '"', '\\"') || '"', 'source_path: "' || path || '"', 'source_hash: "' || hash || '"', '---', '', '# ' || title, '', p, ''], chr(10)) AS content FROM d""",
     "book_progress": " UNION ALL ".join(f"SELECT '{s}' AS stage, CAST(count(*) FILTER (stages.{s}) AS BIGINT) AS n_books FROM books" for s in ("detected", "converted", "split", "layout_checked", "patched", "compiled", "promoted")),
     "promotion_targets": f"""
-WITH e AS (SELECT note_id, {S.stem('path')} AS stem, 'distilled/' || {S.slug("coalesce(category, 'notes')")} || '/' || {S.strip(f"regexp_replace(regexp_replace(regexp_replace(coalesce(title, 'untitled'), '[<>:{chr(34)}/" + chr(92) * 2 + f"|?*" + chr(92) + "x00-" + chr(92) + f"x1f]', '_', 'g'), '[{S.SPACE}]+', '-', 'g'), '[-_]{{2,}}', '-', 'g')", chr(92) + "-_.")} AS target
-           FROM vault_registry WHERE note_type = 'summary')
+WITH e AS (SELECT note_id, {S.stem('path')} AS stem, 'distilled/' || {S.slug("coalesce(category, 'notes')")} || '/' || {S.file_name("coalesce(title, 'untitled')")} AS target FROM vault_registry WHERE note_type = 'summary')
 SELECT note_id, CASE WHEN note_id = min(note_id) OVER (PARTITION BY target) THEN target ELSE target || '-' || stem END || '.md' AS target_path FROM e""",
     "promotion_plan": f"""
 WITH p AS (SELECT {S.slug('title')} AS target, source_file AS owner, summary AS content FROM vault_registry WHERE note_type = 'summary'),
