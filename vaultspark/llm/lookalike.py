@@ -78,7 +78,7 @@ def swapped(c: str, table: dict[str, str]) -> str | None:
 def map_word(word: str) -> tuple[str, str | None]:
     """A word in the alphabet that most of its letters belong to, unmistakable ones counting twice, and a doubtful Latin reading.
 
-    Without unmistakable letters the alphabet is Latin. Phonetic letters give way to those they look like, in the case of the others.
+    Where no letter is unmistakably of another alphabet it is Latin. Phonetic letters give way to those they look like, in the case of the others.
     A word of a single other alphabet whose letters all look Latin stays as it is, with its Latin reading beside it.
     """
     if any(phonetic(c) for c in word):
@@ -96,7 +96,7 @@ def map_word(word: str) -> tuple[str, str | None]:
         if s := script(c):
             total[s] += 1
             sure[s] += not any(swapped(c, BACK[o]) for o in foreign) if s == "latin" else swapped(c, SCRIPTS[s]) is None
-    target = max(sorted(used), key=lambda s: (sure[s] + total[s], sure[s], s == "latin")) if any(sure.values()) else "latin"
+    target = max(sorted(used), key=lambda s: (sure[s] + total[s], sure[s], s == "latin")) if any(sure[s] for s in foreign) else "latin"
     out = []
     for c in word:
         s = script(c)
