@@ -6,6 +6,7 @@ outbound_links, headings, summary, mtime, removed_at. Stems are the last part of
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,10 +15,9 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import md
 from vaultspark.operators.ordered import grouped_position, neighbours
+from vaultspark.operators.search import BLOCK, automaton, occurrences
 from vaultspark.session import stage_table
 
-#: Titles that one pass over the texts looks for; more are looked for in further passes.
-TITLE_BLOCK = 100_000
 #: Entries of one page of a category index.
 PAGE_ENTRIES = 500
 # How texts refer to other pages by name.
@@ -85,33 +85,16 @@ def category_index(notes: DataFrame, entries: int = PAGE_ENTRIES) -> DataFrame:
     return pages.select("category", "page", "n", F.array_join(F.transform("items", lambda x: F.concat(F.lit("- [["), x["stem"], F.lit("]]"))), "\n").alias("body"))
 
 
-def title_mentions(texts: DataFrame, key: str, text: str, titles: DataFrame, block: int = TITLE_BLOCK) -> DataFrame:
+def title_mentions(texts: DataFrame, key: str, text: str, titles: DataFrame, own: str | None = None, block: int = BLOCK) -> DataFrame:
     """key, title: titles (title) of three or more characters that occur in a text which doesn't link to them.
 
-    The titles are matched by one automaton over each text, in blocks of a fixed number of titles, so neither side is paired with
-    the other. An empty table of titles gives no rows.
+    own is the column with the text's own title, which counts for no mention. The titles are matched by one automaton over each
+    text, in blocks of a fixed number of titles, so neither side is paired with the other. An empty table of titles gives no rows.
     """
-    import ahocorasick
-
-    wanted = stage_table(titles.filter("length(title) >= 3").select("title").distinct())
-    n_blocks = -(-wanted.count() // block)
-    rows = texts.filter(F.col(text).isNotNull()).select(key, text)
-    schema = f"{key} {texts.schema[key].dataType.simpleString()}, title string"
-    out = texts.sparkSession.createDataFrame([], schema)
-    for b in range(n_blocks):
-        part = [r.title for r in wanted.filter(F.pmod(F.xxhash64("title"), F.lit(n_blocks)) == b).collect()]
-
-        def run(batches: Iterator[pd.DataFrame], part: list[str] = part) -> Iterator[pd.DataFrame]:
-            automaton = ahocorasick.Automaton()
-            for t in part:
-                automaton.add_word(t, t)
-            automaton.make_automaton()
-            for batch in batches:
-                found = [(k, t) for k, x in zip(batch[key], batch[text]) for t in sorted({t for _, t in automaton.iter(x)}) if f"[[{t}]]" not in x] if part else []
-                yield pd.DataFrame(found, columns=[key, "title"])
-
-        out = out.unionByName(rows.mapInPandas(run, schema))
-    return out
+    found = occurrences(texts, key, text, titles.filter("length(title) >= 3").select(F.col("title").alias("word")), block).withColumnRenamed("word", "title")
+    rows = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_text"), (F.col(own) if own else F.lit(None).cast("string")).alias("_own"))
+    linked = F.contains("_text", F.concat(F.lit("[["), "title", F.lit("]]")))
+    return found.join(rows, F.col(key) == F.col("_k")).filter(~linked & ~F.col("title").eqNullSafe(F.col("_own"))).select(key, "title").distinct()
 
 
 def cross_references(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -120,7 +103,7 @@ def cross_references(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.filter(F.col(text).isNotNull()).select(key, F.explode(found).alias("reference")).select(key, md.strip(F.col("reference")).alias("reference"))
 
 
-def reference_links(texts: DataFrame, key: str, text: str, own: str, titles: DataFrame, block: int = TITLE_BLOCK) -> DataFrame:
+def reference_links(texts: DataFrame, key: str, text: str, own: str, titles: DataFrame, block: int = BLOCK) -> DataFrame:
     """key, target: the pages that a text refers to by name, each once; own is the column with the text's own title.
 
     A reference means the smallest title (title), other than the text's own, that it contains or that contains it. Both ways are
@@ -141,23 +124,20 @@ def reference_links(texts: DataFrame, key: str, text: str, own: str, titles: Dat
 
 def _contained(inner: DataFrame, outer: DataFrame, block: int, of_inner: bool = False) -> DataFrame:
     """inner, outer: texts (x) of inner that occur in one of outer; for each of outer (with of_inner, of inner) a batch's two least partners."""
-    import ahocorasick
-
     schema = "inner string, outer string"
     n_blocks = -(-inner.count() // block)
     out = inner.sparkSession.createDataFrame([], schema)
     for b in range(n_blocks):
         part = [r.x for r in inner.filter(F.pmod(F.xxhash64("x"), F.lit(n_blocks)) == b).collect()]
 
-        def run(batches: Iterator[pd.DataFrame], part: list[str] = part) -> Iterator[pd.DataFrame]:
-            automaton = ahocorasick.Automaton()
-            for t in part:
-                automaton.add_word(t, t)
-            automaton.make_automaton()
+        name = uuid.uuid4().hex
+
+        def run(batches: Iterator[pd.DataFrame], part: list[str] = part, name: str = name) -> Iterator[pd.DataFrame]:
+            own = automaton(name, part)
             for batch in batches:
                 least: dict[str, list[str]] = {}
                 for x in batch["x"] if part else ():
-                    for t in {t for _, t in automaton.iter(x)}:
+                    for t in {t for _, t in own.iter(x)}:
                         a, b = (t, x) if of_inner else (x, t)
                         held = least.setdefault(a, [])
                         if len(held) < 2 or b < held[-1]:
@@ -248,22 +228,41 @@ def conflicting_sources(raws: DataFrame) -> DataFrame:
     return raws.filter("source_hash is not null and raw_hash <> source_hash").select("raw_id", "path")
 
 
-def cold_notes(notes: DataFrame, before: str, limit: int = 25) -> DataFrame:
-    """The report's first notes by path, indexes apart, not written since `before` and without links from later notes."""
+def cold_notes(notes: DataFrame, before: str, limit: int | None = None) -> DataFrame:
+    """Notes, indexes apart, not written since `before` and without links from later notes; with a limit a report's first by path."""
     recent = link_occurrences(notes.filter(F.col("mtime") >= F.lit(before).cast("timestamp_ntz"))).select(F.col("target").alias("stem")).distinct()
     old = with_stem(notes.filter((F.col("mtime") < F.lit(before).cast("timestamp_ntz")) & (F.coalesce("note_type", F.lit("")) != "index")))
-    return old.join(recent, "stem", "left_anti").select("path", "note_id").orderBy("path", "note_id").limit(limit)
+    cold = old.join(recent, "stem", "left_anti").select("path", "note_id")
+    return cold if limit is None else cold.orderBy("path", "note_id").limit(limit)
 
 
 def contract_violations(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, violation, n: unbalanced wikilinks, and Markdown links to .md pages, one for each occurrence."""
     t = F.col(text)
-    links = F.size(F.filter(F.regexp_extract_all(t, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), F.lit(1)), lambda x: F.contains(x, F.lit(".md")) & ~F.contains(x, F.lit("://"))))
+    links = F.size(F.filter(F.regexp_extract_all(t, F.lit(r"\[[^\]]+\]\(([^)]+)\)"), F.lit(1)), lambda x: F.endswith(x, F.lit(".md")) & ~F.contains(x, F.lit("://"))))
     unbalanced = (F.size(F.split(t, r"\[\[", -1)) != F.size(F.split(t, r"\]\]", -1))).cast("int")
     each = F.explode(F.array(F.struct(F.lit("unbalanced_wikilink").alias("violation"), unbalanced.alias("n")), F.struct(F.lit("markdown_link").alias("violation"), links.alias("n")))).alias("v")
     return texts.filter(t.isNotNull()).select(key, each).select(key, "v.*").filter("n > 0")
 
 
+# Fields that a version of an answer must have.
+VERSION_FIELDS = ["question", "sources", "derived_from_query_output", "version", "version_group"]
+
+
+def query_page_violations(pages: DataFrame, folder: str = "queries") -> DataFrame:
+    """note_id, violation, missing of pages of answers (note_id, path, frontmatter) that break their contract.
+
+    A version (`--v` in its name) must be a query-note with all VERSION_FIELDS, any other page an index of kind query-history.
+    """
+    fields = F.transform(F.split(F.coalesce("frontmatter", F.lit("")), "\n"), lambda x: md.strip(x))
+    names = F.transform(fields, lambda x: md.strip(F.substring_index(x, ":", 1)))
+    value = lambda name: F.coalesce(md.strip(md.strip(F.substring_index(F.try_element_at(F.filter(fields, lambda x: F.startswith(x, F.lit(f"{name}:"))), F.lit(-1)), ":", -1)), '"'), F.lit(""))
+    missing = F.filter(F.array(*map(F.lit, VERSION_FIELDS)), lambda f: ~F.array_contains(names, f))
+    version = F.contains(F.substring_index("path", "/", -1), F.lit("--v"))
+    broken = F.when(version & ((value("type") != "query-note") | (F.size(missing) > 0)), "version").when(~version & ((value("type") != "index") | (value("index_kind") != "query-history")), "history")
+    return pages.filter(F.startswith("path", F.lit(f"{folder}/"))).select("note_id", broken.alias("violation"), F.when(version, F.array_join(missing, ",")).otherwise("").alias("missing")).filter("violation is not null")
+
+
 def homepage_item() -> Column:
     """A note's line of the homepage: its path as a link, with the beginning of its summary."""
     return F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("]]"), F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), F.left("summary", F.lit(180)))).otherwise(""))

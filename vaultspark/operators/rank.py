@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultspark.functions import md
+from vaultspark.operators.search import BLOCK, automaton, occurrences
 from vaultspark.session import spread, stage_table
 
-#: Questions scored in one pass over the pages.
-QUESTION_BLOCK = 1000
-#: Names of pages that one pass over the index looks for.
-NAME_BLOCK = 100_000
+#: Questions scored in one pass over the pages, and in one product of counts and weights.
+QUESTION_BLOCK, PRODUCT = 20_000, 1000
+#: Numbers in a table of pages by tokens that a task holds.
+CELLS = 8_000_000
 #: Columns of a registry entry, by the names they have in it.
 ENTRY_FIELDS = {c: c for c in ("title", "path", "line_count", "headings", "outbound_links", "inbound_links", "summary", "source_file", "category", "parent", "status", "tags", "chapter", "source_path", "question")} | {"file_format": "format", "note_type": "type"}
 TOKEN = re.compile(r"\w+")
@@ -27,18 +29,38 @@ def question_tokens(question: str) -> list[str]:
     return sorted({t for t in TOKEN.findall(question.lower()) if len(t) >= 2})
 
 
+def corpus(pages: DataFrame) -> DataFrame:
+    """The pages (path, page_type, text) that questions are answered by: no homepage, log, query notes or indexes of their history."""
+    history = (F.col("page_type") == "index") & F.col("text").rlike(r"\A---[^\n]*\n(?:[^\n]*\n)*?index_kind:[ \t]*\"?query-history")
+    left_out = F.col("path").isin("wiki/index.md", "wiki/log.md") | (F.col("page_type") == "query-note") | history
+    return pages.filter(~F.coalesce(left_out, F.lit(False)))
+
+
+def _best(docs: np.ndarray, scores: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(docs, scores) of each row's best columns: greatest score, then least doc; docs are one row for all, ascending, or one for each."""
+    n = scores.shape[1]
+    if docs.ndim == 1 and n > limit:
+        keys = scores.astype(np.int64) * (n + 1) - np.arange(n)
+        top = np.argpartition(-keys, limit - 1, axis=1)[:, :limit]
+        return docs[top], np.take_along_axis(scores, top, 1)
+    docs = np.broadcast_to(docs, scores.shape)
+    order = np.argsort(docs, axis=1, kind="stable")
+    docs, scores = np.take_along_axis(docs, order, 1), np.take_along_axis(scores, order, 1)
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :limit]
+    return np.take_along_axis(docs, order, 1), np.take_along_axis(scores, order, 1)
+
+
 def ranked(questions: DataFrame, pages: DataFrame, limit: int = 5, hints: DataFrame | None = None) -> DataFrame:
     """question_id, doc_id, score, place: the best pages (doc_id, text) of each question (question_id, question) by occurrences of its tokens.
 
-    Questions are a stated set, taken in blocks. One automaton counts a block's tokens in each page; a task keeps the best `limit`
-    pages of each question, so what is moved is bounded by tasks times questions. Ties go to the lesser doc_id; pages with score 0
-    and null texts are no hits; a null question has none.
+    Questions are a stated set, taken in blocks. One automaton counts a block's tokens in each page; scores of many pages and
+    questions are products of counts and weights, and a task keeps the best `limit` pages of each question, so what is moved is
+    bounded by tasks times questions. Ties go to the lesser doc_id; pages with score 0 and null texts are no hits; a null question
+    has none.
 
     hints (doc_id, bonus, entry; one row a page) add to every page's score before any is left out: bonus for each question, and one
     for each of its tokens that occurs in entry, the page's registry entry. A page may be a hit by its hints alone.
     """
-    import ahocorasick
-
     if hints is None:
         pages = pages.withColumns({"bonus": F.lit(0), "entry": F.lit(None).cast("string")})
     else:
@@ -50,40 +72,42 @@ def ranked(questions: DataFrame, pages: DataFrame, limit: int = 5, hints: DataFr
     for b in range(n_blocks):
         block = [(r.question_id, question_tokens(r.question)) for r in asked.filter(F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == b).collect()]
         words = sorted({t for _, ts in block for t in ts})
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pd.DataFrame], block: list = block, words: list[str] = words) -> Iterator[pd.DataFrame]:
-            automaton = ahocorasick.Automaton()
-            for k, w in enumerate(words):
-                automaton.add_word(w, k)
-            automaton.make_automaton()
+        def run(batches: Iterator[pd.DataFrame], block: list = block, words: list[str] = words, name: str = name) -> Iterator[pd.DataFrame]:
+            found = automaton(name, words)
             place = {w: k for k, w in enumerate(words)}
-            lengths = [len(w) for w in words]
-            weight = np.zeros((len(words), len(block)), np.int32)
-            for q, (_, ts) in enumerate(block):
-                for t in ts:
-                    weight[place[t], q] = 1
-            ids, best = np.array([q for q, _ in block]), [np.empty((0, 2), np.int64) for _ in block]
+            parts = []
+            for first in range(0, len(block), PRODUCT):
+                some = block[first : first + PRODUCT]
+                own = sorted({place[t] for _, ts in some for t in ts})
+                at = {w: k for k, w in enumerate(own)}
+                weight = np.zeros((len(own), len(some)), np.float32)
+                for q, (_, ts) in enumerate(some):
+                    weight[[at[place[t]] for t in ts], q] = 1
+                parts.append([np.array(own, int), weight, np.empty((len(some), 0), np.int64), np.empty((len(some), 0))])
+            step = max(50, CELLS // max(1, len(words)))
             for batch in batches:
-                for first in range(0, len(batch), 500):
-                    part = batch.iloc[first : first + 500]
-                    counts = np.zeros((len(part), len(words)), np.int32)
+                for start in range(0, len(batch), step):
+                    part = batch.iloc[start : start + step].sort_values("doc_id")
+                    counts = np.zeros((len(part), len(words)), np.float32)
                     for row, text in enumerate(part["text"]):
-                        free = {}
-                        for end, k in automaton.iter(text) if words else ():
-                            if end - lengths[k] >= free.get(k, -1):  # no overlaps with itself
-                                counts[row, k] += 1
-                                free[k] = end
-                    scores = counts @ weight + part["bonus"].to_numpy()[:, None]
+                        free: dict[str, int] = {}
+                        for end, w in found.iter(text) if words else ():
+                            if end - len(w) >= free.get(w, -1):  # no overlaps with itself
+                                counts[row, place[w]] += 1
+                                free[w] = end
                     for row, entry in enumerate(part["entry"]):
                         if isinstance(entry, str) and words:
-                            scores[row] += weight[sorted({k for _, k in automaton.iter(entry)})].sum(axis=0)
-                    docs = part["doc_id"].to_numpy()
-                    for q in range(len(block)):
-                        hit = scores[:, q] > 0
-                        both = np.concatenate([best[q], np.column_stack([docs[hit], scores[hit, q]])])
-                        best[q] = both[np.lexsort((both[:, 0], -both[:, 1]))][:limit]
-            rows = [(int(ids[q]), int(d), int(s)) for q in range(len(block)) for d, s in best[q]]
-            yield pd.DataFrame(rows, columns=["question_id", "doc_id", "score"])
+                            counts[row, sorted({place[w] for _, w in found.iter(entry)})] += 1
+                    docs, bonus = part["doc_id"].to_numpy(), part["bonus"].to_numpy()[:, None]
+                    for p in parts:
+                        new_docs, new_scores = _best(docs, (counts[:, p[0]] @ p[1] + bonus).T, limit)
+                        p[2], p[3] = _best(np.concatenate([p[2], new_docs], 1), np.concatenate([p[3], new_scores], 1), limit)
+            for k, (_, _, docs, scores) in enumerate(parts):
+                row, col = np.nonzero(scores > 0)
+                ids = np.array([q for q, _ in block[k * PRODUCT : (k + 1) * PRODUCT]])
+                yield pd.DataFrame({"question_id": ids[row], "doc_id": docs[row, col], "score": scores[row, col].astype(np.int64)})
 
         out = out.unionByName(texts.mapInPandas(run, HITS))
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
@@ -97,26 +121,10 @@ def registry_entries(notes: DataFrame) -> DataFrame:
     return each.groupBy("page").agg(F.max_by("entry", "note_id").alias("entry"))
 
 
-def mentioned(names: DataFrame, lines: DataFrame, block: int = NAME_BLOCK) -> DataFrame:
-    """name of names that occur in a line (text) of the index, each once, found by one automaton for each block of names."""
-    import ahocorasick
-
-    wanted = stage_table(names.filter("name <> ''").select("name").distinct())
-    n_blocks = -(-wanted.count() // block)
-    out = names.sparkSession.createDataFrame([], "name string")
-    for b in range(n_blocks):
-        part = [r.name for r in wanted.filter(F.pmod(F.xxhash64("name"), F.lit(n_blocks)) == b).collect()]
-
-        def run(batches: Iterator[pd.DataFrame], part: list[str] = part) -> Iterator[pd.DataFrame]:
-            automaton = ahocorasick.Automaton()
-            for name in part:
-                automaton.add_word(name, name)
-            automaton.make_automaton()
-            for batch in batches:
-                yield pd.DataFrame({"name": sorted({n for x in batch["text"] for _, n in automaton.iter(x)} if part else ())}, dtype=object)
-
-        out = out.unionByName(lines.filter("text is not null").select("text").mapInPandas(run, "name string"))
-    return out.distinct()
+def mentioned(names: DataFrame, lines: DataFrame, block: int = BLOCK) -> DataFrame:
+    """name of names that occur in a line (text) of the index, each once."""
+    found = occurrences(lines.withColumn("_line", F.lit(0)), "_line", "text", names.select(F.col("name").alias("word")), block)
+    return found.select(F.col("word").alias("name")).distinct()
 
 
 def answers(questions: DataFrame, hits: DataFrame, pages: DataFrame, mode: str = "scaffold") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vaultspark.functions import md
 from vaultspark.functions import sql as S
-from vaultspark.operators import layout, patch, rank, split
+from vaultspark.operators import layout, patch, rank, split, workset
 from vaultspark.operators import notes as N
 from vaultspark.session import table
 
@@ -115,21 +115,36 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return rank.ranked(_questions(spark, d), _docs(spark, d))
+    return rank.ranked(_questions(spark, d), rank.corpus(_docs(spark, d)))
+
+
+def _changed(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of a workset: every hundredth raw source that is there."""
+    return table(spark, d, "raw_sources").filter("raw_id % 100 = 0 and removed_at is null and content is not null").groupBy(F.col("path").alias("source_path")).agg(F.max_by("content", "raw_id").alias("text"))
+
+
+def _review(spark: SparkSession, d: str) -> DataFrame:
+    return workset.pages_to_review(_changed(spark, d), _docs(spark, d), ["wiki/index.md"])
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    raws = table(spark, d, "raw_sources").filter("removed_at is null and content is not null").groupBy(F.col("path").alias("source_path")).agg(F.max_by("content", "raw_id").alias("text"))
+    return workset.entries(raws).select("source_path", "summary_page", F.array_join("concept_pages", ",").alias("concept_pages"), "evidence")
 
 
 def _hints(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, bonus, entry: points by page type, one for pages the index mentions, and the registry's entry."""
+    """doc_id, bonus, entry: two points for pages of the workset, one for those the index mentions, and the registry's entry."""
     docs, notes = _docs(spark, d), table(spark, d, "vault_registry")
-    typed = F.when(F.col("page_type") == "concept", 2).when(F.col("page_type") == "index", 1).otherwise(0)
-    pages = docs.select("doc_id", F.col("path").alias("page"), F.replace(F.regexp_replace("path", "^wiki/", ""), F.lit(".md"), F.lit("")).alias("name"), typed.alias("typed"))
+    pages = docs.select("doc_id", F.col("path").alias("page"), F.replace(F.regexp_replace("path", "^wiki/", ""), F.lit(".md"), F.lit("")).alias("name"))
+    named_by = workset.pages_of(_changed(spark, d), docs, ["wiki/index.md"]).withColumn("asked", F.lit(2))
+    pages = pages.join(named_by, "page", "left")
     named = rank.mentioned(pages.filter("page <> 'wiki/index.md'"), notes.select(N.homepage_item().alias("text"))).withColumn("named", F.lit(1))
     known = pages.join(named, "name", "left").join(rank.registry_entries(notes), "page", "left")
-    return known.select("doc_id", (F.col("typed") + F.coalesce("named", F.lit(0))).alias("bonus"), "entry").filter("bonus > 0 or entry is not null")
+    return known.select("doc_id", (F.coalesce("asked", F.lit(0)) + F.coalesce("named", F.lit(0))).alias("bonus"), "entry").filter("bonus > 0 or entry is not null")
 
 
 def _hinted(spark: SparkSession, d: str) -> DataFrame:
-    return rank.ranked(_questions(spark, d), _docs(spark, d), hints=_hints(spark, d))
+    return rank.ranked(_questions(spark, d), rank.corpus(_docs(spark, d)), hints=_hints(spark, d))
 
 
 def _answers(mode: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -140,13 +155,15 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     notes = table(spark, d, "vault_registry").filter("question is not null")
     keyed = notes.select(md.query_slug(F.col("question")).alias("slug"), F.left(F.sha1(F.coalesce("summary", F.lit(""))), F.lit(12)).alias("hash"), "note_id", "mtime")
     filed = keyed.groupBy("slug").agg(F.max_by("hash", "note_id").alias("hash"))
-    latest = keyed.filter("mtime < timestamp_ntz'2024-07-01 00:00:00'").groupBy("slug").agg(F.count("*").cast("int").alias("version"), F.min_by("hash", "note_id").alias("hash"))
+    latest = keyed.filter("mtime < timestamp_ntz'2024-07-01 00:00:00'").groupBy("slug").agg(F.count("*").cast("int").alias("version"), F.max_by("hash", F.struct("mtime", "note_id")).alias("hash"))
     return rank.versioned(filed, latest)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rank_notes": _ranked,
     "rank_notes_hinted": _hinted,
+    "workset": _review,
+    "workset_entries": _entries,
     "answer_scaffold": _answers("scaffold"),
     "answer_synthesis": _answers("synthesize"),
     "query_versions": _versions,
@@ -207,7 +224,8 @@ def _islands(condition: str, more: str = "") -> str:
 """
 
 
-_CONTENT = "d AS (SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL)"
+_CORPUS = r"""NOT coalesce(path IN ('wiki/index.md', 'wiki/log.md') OR page_type = 'query-note' OR page_type = 'index' AND regexp_matches(text, '\A---[^\n]*\n(?:[^\n]*\n)*?index_kind:[ \t]*"?query-history'), false)"""
+_CONTENT = f"d AS (SELECT doc_id, lower(text) AS text FROM documents WHERE text IS NOT NULL AND {_CORPUS})"
 _RANK = f"""
 WITH q AS (SELECT note_id AS question_id, coalesce(question, title) AS question FROM vault_registry WHERE note_id % 100 = 0),
 tok AS (SELECT DISTINCT question_id, unnest({S.tokens('question')}) AS token FROM q), {_CONTENT},
@@ -217,6 +235,25 @@ top AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_i
 _LISTED = f"""
 , full_ AS (SELECT question_id, place, doc_id, score, {S.summary('text', 320)} AS preview, {S.title('text', chr(39) + 'untitled' + chr(39))} AS title FROM top JOIN documents USING (doc_id))
 """
+_DISTINCT_CONCEPTS = S.concept_candidates("title", "headings")
+_CONCEPT_PAGES = f"list_transform({_DISTINCT_CONCEPTS}, lambda c: 'wiki/concept/' || {S.slug('c')} || '.md')"
+
+
+def _distinct(x: str) -> str:
+    return f"list_filter({x}, lambda p, i: list_position({x}, p) = i)"
+
+
+_DESCRIBED = f"""
+one AS (SELECT path AS source_path, arg_max(content, raw_id) AS text FROM raw_sources WHERE removed_at IS NULL AND content IS NOT NULL {{where}} GROUP BY path),
+src AS (SELECT source_path, text, {S.title('text', S.stem('source_path'))} AS title, {S.headings('text')} AS headings, {S.category("regexp_replace(source_path, '^raw/sources/', '')")} AS category,
+  'wiki/summary/' || ({S.category("regexp_replace(source_path, '^raw/sources/', '')")}) || '/' || {S.path_slug(S.stem('source_path'))} || '.md' AS summary_page FROM one)"""
+_WORKSET = _DESCRIBED.replace("{where}", "AND raw_id % 100 = 0") + f""",
+terms AS (SELECT DISTINCT source_path, summary_page, lower(unnest(list_concat([title], list_slice(headings, 1, 4)))) AS term FROM src),
+review AS (SELECT source_path, path AS page, 0 AS r FROM src JOIN documents ON starts_with(path, 'wiki/summary/' || category || '/') WHERE path <> summary_page
+  UNION ALL SELECT source_path, page, 1 FROM (SELECT source_path, unnest({_CONCEPT_PAGES}) AS page FROM src) WHERE page IN (SELECT path FROM documents)
+  UNION ALL SELECT source_path, path, 2 FROM terms JOIN documents ON term <> '' AND (contains(lower(coalesce(text, '')), term) OR contains(lower({S.stem('path')}), term)) WHERE path <> summary_page AND path <> 'wiki/index.md'
+  UNION ALL SELECT source_path, 'wiki/index.md', 3 FROM src)"""
+_ENTRY = ", ".join(f"'{name}:' || {'array_to_string(' + c + ', chr(10))' if c in ('headings', 'outbound_links', 'tags') else c}" for c, name in rank.ENTRY_FIELDS.items())
 _PATCH = """
 WITH known AS (SELECT DISTINCT candidate_id FROM layout_candidates),
 v AS (SELECT p.*, concat_ws('; ',
@@ -236,9 +273,23 @@ _KEY = "coalesce(nullif(patch_id, ''), concat_ws(':', candidate_id, operation))"
 
 ORACLE: dict[str, str] = {
     "rank_notes": _RANK + "SELECT question_id, doc_id, score, place FROM top",
-    "rank_notes_hinted": _RANK + """
-SELECT question_id, doc_id, CAST(score + b AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score + b DESC, doc_id) AS INTEGER) AS place
-FROM (SELECT top.*, CASE page_type WHEN 'concept' THEN 2 WHEN 'index' THEN 1 ELSE 0 END AS b FROM top JOIN documents USING (doc_id))""",
+    "workset": f"WITH {_WORKSET} SELECT source_path, page, CASE min(r) WHEN 0 THEN 'category' WHEN 1 THEN 'concept' WHEN 2 THEN 'term' ELSE 'recent' END AS reason FROM review GROUP BY source_path, page",
+    "workset_entries": f"""
+WITH {_DESCRIBED.replace(chr(123) + "where" + chr(125), "")}
+SELECT source_path, summary_page, array_to_string({_distinct(_CONCEPT_PAGES)}, ',') AS concept_pages, array_to_string(list_concat(['title: ' || title, 'excerpt: ' || CASE WHEN e = '' THEN 'none' ELSE e END], list_transform(list_slice(headings, 1, 4), lambda h: 'heading: ' || h)), chr(10)) AS evidence
+FROM (SELECT *, left({S.first_paragraphs('text')}, 280) AS e FROM src)""",
+    "rank_notes_hinted": f"""
+WITH {_WORKSET}, q AS (SELECT note_id AS question_id, coalesce(question, title) AS question FROM vault_registry WHERE note_id % 100 = 0),
+tok AS (SELECT DISTINCT question_id, unnest({S.tokens('question')}) AS token FROM q),
+asked AS (SELECT DISTINCT page FROM review UNION SELECT summary_page FROM src UNION SELECT unnest({_CONCEPT_PAGES}) FROM src),
+home AS (SELECT '- [[' || regexp_replace(path, '\\.md$', '') || ']]' || CASE WHEN coalesce(summary, '') <> '' THEN ': ' || left(summary, 180) ELSE '' END AS item FROM vault_registry),
+index_ AS (SELECT string_agg(item, chr(10)) AS t FROM home),
+reg AS (SELECT 'wiki/' || path AS page, arg_max(lower(concat_ws(chr(10), {_ENTRY})), note_id) AS entry FROM vault_registry WHERE path IS NOT NULL GROUP BY path),
+pages AS (SELECT doc_id, lower(text) AS text, entry, CASE WHEN d.path IN (SELECT page FROM asked) THEN 2 ELSE 0 END + CASE WHEN d.path <> 'wiki/index.md' AND contains(t, replace(regexp_replace(d.path, '^wiki/', ''), '.md', '')) THEN 1 ELSE 0 END AS bonus
+  FROM documents d CROSS JOIN index_ LEFT JOIN reg ON reg.page = d.path WHERE d.text IS NOT NULL AND {_CORPUS}),
+hit AS (SELECT question_id, doc_id, CAST(coalesce(sum((length(text) - length(replace(text, token, ''))) / length(token) + CASE WHEN contains(entry, token) THEN 1 ELSE 0 END), 0) + max(bonus) AS BIGINT) AS score
+  FROM q JOIN pages ON question IS NOT NULL LEFT JOIN tok USING (question_id) GROUP BY ALL HAVING score > 0)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM hit) WHERE place <= 5""",
     "answer_scaffold": _RANK + _LISTED + r"""
 SELECT q.question_id, CASE WHEN max(place) IS NULL THEN '# ' || question || chr(10) || 'No matching pages.' ELSE '# ' || question || chr(10) || '## Sources' || chr(10) ||
   string_agg('- [[' || doc_id || ']] (score: ' || score || ')' || chr(10) || '  - ' || preview, chr(10) ORDER BY place) END AS body
@@ -250,7 +301,7 @@ SELECT q.question_id, CASE WHEN max(place) IS NULL THEN '# ' || question || chr(
 FROM q LEFT JOIN full_ f USING (question_id) LEFT JOIN first3 USING (question_id) WHERE question IS NOT NULL GROUP BY q.question_id, question""",
     "query_versions": f"""
 WITH keyed AS (SELECT {S.query_slug('question')} AS slug, left(sha1(coalesce(summary, '')), 12) AS hash, note_id, mtime FROM vault_registry WHERE question IS NOT NULL),
-f AS (SELECT slug, arg_max(hash, note_id) AS hash FROM keyed GROUP BY slug), l AS (SELECT slug, count(*) AS version, arg_min(hash, note_id) AS hash FROM keyed WHERE mtime < TIMESTAMP '2024-07-01' GROUP BY slug)
+f AS (SELECT slug, arg_max(hash, note_id) AS hash FROM keyed GROUP BY slug), l AS (SELECT slug, count(*) AS version, arg_max(hash, {{'m': mtime, 'n': note_id}}) AS hash FROM keyed WHERE mtime < TIMESTAMP '2024-07-01' GROUP BY slug)
 SELECT f.slug, CAST(coalesce(version, 0) + CASE WHEN l.hash = f.hash THEN 0 ELSE 1 END AS INTEGER) AS version, CASE WHEN l.slug IS NULL THEN 'created' WHEN l.hash = f.hash THEN 'merged' ELSE 'versioned' END AS action FROM f LEFT JOIN l ON l.slug = f.slug""",
     "boundaries": f"WITH RECURSIVE {_BOUNDS} SELECT doc_id, line, type, title FROM bounds",
     "absorb_sections": f"WITH RECURSIVE {_BOUNDS} SELECT doc_id, line, type FROM fold WHERE kept",

@@ -44,20 +44,30 @@ def _section_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    titles = table(spark, d, "layout_candidates").select(F.regexp_replace("heading", "^(?:Of the|On the|The) ", "").alias("title"))
-    return N.title_mentions(table(spark, d, "documents"), "doc_id", "text", titles)
+    docs = table(spark, d, "documents").withColumn("stem", md.stem(F.col("path")))
+    return N.title_mentions(docs, "doc_id", "text", docs.select(F.col("stem").alias("title")), "stem")
 
 
 def _xref(spark: SparkSession, d: str) -> DataFrame:
+    """The sections' bodies name no other page, so each has a line added that names its own chapter in two ways."""
     sections = table(spark, d, "sections")
-    referring = sections.select("section_id", "stem", F.concat_ws(" ", F.concat(F.lit("For this see "), F.col("chapter")), F.concat(F.lit("見"), F.col("chapter"))).alias("text"))
+    referring = sections.select("section_id", "stem", F.concat_ws("\n", "body", F.concat(F.lit("For this see "), F.col("chapter")), F.concat(F.lit("見"), F.col("chapter"))).alias("text"))
     return N.reference_links(referring, "section_id", "text", "stem", sections.select(F.col("stem").alias("title")))
 
 
 def _contract(spark: SparkSession, d: str) -> DataFrame:
-    notes = table(spark, d, "vault_registry")
-    end = F.when(F.pmod(F.col("note_id"), F.lit(5)) == 0, "] [x](").otherwise("]] [x](")
-    return N.contract_violations(notes.select("note_id", F.concat(F.lit("[["), F.col("title"), end, F.col("path"), F.lit(")")).alias("text")), "note_id", "text")
+    """The documents' texts keep the contract, so every fifth has an open link and every seventh a link in Markdown added."""
+    text = F.concat(F.col("text"), F.when(F.col("doc_id") % 5 == 0, "\n[[open]").otherwise(""), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\n[x]("), "path", F.lit(")"))).otherwise(""))
+    return N.contract_violations(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+def _query_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of answers; every third is taken as a version, every other one of those with the fields of one, every fifth page as an index."""
+    notes = table(spark, d, "vault_registry").filter("startswith(path, 'queries/')")
+    k = F.col("note_id")
+    path = F.when(k % 3 == 0, F.regexp_replace("path", r"\.md$", "--v1.md")).otherwise(F.col("path"))
+    more = F.when(k % 6 == 0, "\nsources: []\nderived_from_query_output: \"x\"\nversion: 1\nversion_group: \"g\"").when(k % 5 == 0, "\ntype: index\nindex_kind: \"query-history\"").otherwise("")
+    return N.query_page_violations(notes.select("note_id", path.alias("path"), F.concat("frontmatter", more).alias("frontmatter")))
 
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
@@ -175,6 +185,7 @@ QUERIES: dict[str, Query] = {
     "lint_source_hashes": _both(lambda raws, notes: N.conflicting_sources(raws)),
     "lint_cold": _notes(lambda notes: N.cold_notes(notes, "2024-01-01 00:00:00")),
     "lint_contract": _contract,
+    "lint_query_pages": _query_contract,
     "ingest_delta": _delta,
     "compile_dirty": _dirty,
     "concept_pages": _notes(C.concepts),
@@ -238,14 +249,15 @@ SELECT * FROM (SELECT source_file, stem, lag(stem) OVER w AS previous, lead(stem
     "category_index": _LINKS + """
 , placed AS (SELECT category, stem, row_number() OVER (PARTITION BY category ORDER BY stem, note_id) AS position, count(*) OVER (PARTITION BY category) AS c FROM stems WHERE coalesce(category, '') <> '')
 SELECT category, CAST(ceil(position / 500) AS INTEGER) AS page, count(*) AS n, string_agg('- [[' || stem || ']]', chr(10) ORDER BY position) AS body FROM placed WHERE c >= 2 GROUP BY 1, 2""",
-    "semantic_links": """
-SELECT doc_id, title FROM documents, (SELECT DISTINCT regexp_replace(heading, '^(?:Of the|On the|The) ', '') AS title FROM layout_candidates)
-WHERE text IS NOT NULL AND length(title) >= 3 AND contains(text, title) AND NOT contains(text, '[[' || title || ']]')""",
-    "xref_links": "SELECT DISTINCT section_id, "
+    "semantic_links": f"""
+WITH d AS (SELECT doc_id, text, {S.stem('path')} AS stem FROM documents), t AS (SELECT DISTINCT stem AS title FROM d WHERE length(stem) >= 3)
+SELECT DISTINCT doc_id, title FROM d, t WHERE text IS NOT NULL AND contains(text, title) AND NOT contains(text, '[[' || title || ']]') AND title IS DISTINCT FROM stem""",
+    "xref_links": "WITH r AS (SELECT DISTINCT section_id, stem, "
     + S.strip("reference")
-    + " AS reference FROM (SELECT section_id, unnest(list_concat("
+    + " AS reference FROM (SELECT section_id, stem, unnest(list_concat("
     + ", ".join(f"regexp_extract_all(body, '{p}', 1)" for p in N.XREF)
-    + ")) AS reference FROM (SELECT section_id, concat_ws(' ', 'For this see ' || chapter, '見' || chapter) AS body FROM sections))",
+    + ")) AS reference FROM (SELECT section_id, stem, concat_ws(chr(10), body, 'For this see ' || chapter, '見' || chapter) AS body FROM sections))), t AS (SELECT DISTINCT stem AS title FROM sections WHERE stem <> '') "
+    + "SELECT DISTINCT section_id, (SELECT min(title) FROM t WHERE title IS DISTINCT FROM r.stem AND (contains(title, reference) OR contains(reference, title))) AS target FROM r WHERE reference <> '' AND target IS NOT NULL",
     "registry_notes": _LINKS + "SELECT note_id, path, coalesce(title, s.stem) AS title, coalesce(note_type, '') AS note_type, coalesce(len(headings), 0) AS n_headings, coalesce(len(outbound_links), 0) AS n_outbound, n_links, n_sources FROM stems s JOIN inb USING (stem)",
     "registry_sources": f"WITH {_SOURCES} SELECT source, path FROM pages",
     "registry_stats": f"WITH {_SOURCES} SELECT count(*) AS n_notes, CAST(coalesce(sum(len(outbound_links)), 0) AS BIGINT) AS n_links, count(DISTINCT nullif(category, '')) AS n_categories, (SELECT count(DISTINCT source) FROM pages) AS n_sources FROM vault_registry",
@@ -265,12 +277,20 @@ HAVING count(*) >= 2 AND heading NOT IN (SELECT stem FROM stems WHERE note_type
     "lint_source_hashes": "SELECT raw_id, path FROM raw_sources WHERE source_hash IS NOT NULL AND raw_hash <> source_hash",
     "lint_cold": _LINKS + """
 SELECT path, note_id FROM stems WHERE mtime < TIMESTAMP '2024-01-01' AND coalesce(note_type, '') <> 'index'
-AND stem NOT IN (SELECT target FROM occ JOIN vault_registry USING (note_id) WHERE mtime >= TIMESTAMP '2024-01-01') ORDER BY path, note_id LIMIT 25""",
+AND stem NOT IN (SELECT target FROM occ JOIN vault_registry USING (note_id) WHERE mtime >= TIMESTAMP '2024-01-01')""",
+    "lint_query_pages": rf"""
+WITH p AS (SELECT note_id, CASE WHEN note_id % 3 = 0 THEN regexp_replace(path, '\.md$', '--v1.md') ELSE path END AS path,
+  list_transform(string_split(coalesce(frontmatter || CASE WHEN note_id % 6 = 0 THEN chr(10) || 'sources: []' || chr(10) || 'derived_from_query_output: "x"' || chr(10) || 'version: 1' || chr(10) || 'version_group: "g"' WHEN note_id % 5 = 0 THEN chr(10) || 'type: index' || chr(10) || 'index_kind: "query-history"' ELSE '' END, ''), chr(10)), lambda x: {S.strip('x')}) AS f
+  FROM vault_registry WHERE starts_with(path, 'queries/')),
+v AS (SELECT note_id, contains(regexp_replace(path, '^.*/', ''), '--v') AS ver, list_filter(['question', 'sources', 'derived_from_query_output', 'version', 'version_group'], lambda n: NOT list_contains(list_transform(f, lambda x: {S.strip("split_part(x, ':', 1)")}), n)) AS m,
+  coalesce(trim(regexp_replace(list_extract(list_filter(f, lambda x: starts_with(x, 'type:')), -1), '^.*:', '')), '') AS t, coalesce(trim(trim(regexp_replace(list_extract(list_filter(f, lambda x: starts_with(x, 'index_kind:')), -1), '^.*:', '')), '"'), '') AS k FROM p)
+SELECT note_id, CASE WHEN ver THEN 'version' ELSE 'history' END AS violation, CASE WHEN ver THEN array_to_string(m, ',') ELSE '' END AS missing FROM v
+WHERE ver AND (t <> 'query-note' OR len(m) > 0) OR NOT ver AND (t <> 'index' OR k <> 'query-history')""",
     "lint_contract": r"""
-WITH t AS (SELECT note_id, '[[' || title || CASE WHEN note_id % 5 = 0 THEN '] [x](' ELSE ']] [x](' END || path || ')' AS text FROM vault_registry)
+WITH t AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '[[open]' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || '[x](' || path || ')' ELSE '' END AS text FROM documents)
 SELECT * FROM (
-  SELECT note_id, 'unbalanced_wikilink' AS violation, CAST(len(string_split(text, '[[')) <> len(string_split(text, ']]')) AS INTEGER) AS n FROM t WHERE text IS NOT NULL
-  UNION ALL SELECT note_id, 'markdown_link', len(list_filter(regexp_extract_all(text, '\[[^\]]*\]\(([^)]+)\)', 1), lambda x: contains(x, '.md') AND NOT contains(x, '://'))) FROM t WHERE text IS NOT NULL) WHERE n > 0""",
+  SELECT doc_id, 'unbalanced_wikilink' AS violation, CAST(len(string_split(text, '[[')) <> len(string_split(text, ']]')) AS INTEGER) AS n FROM t WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'markdown_link', len(list_filter(regexp_extract_all(text, '\[[^\]]+\]\(([^)]+)\)', 1), lambda x: ends_with(x, '.md') AND NOT contains(x, '://'))) FROM t WHERE text IS NOT NULL) WHERE n > 0""",
     "homepage": f"""
 WITH i AS (SELECT {S.category('path')} AS section, path, note_id, '- [[' || regexp_replace(path, '\\.md$', '') || ']]' || CASE WHEN coalesce(summary, '') <> '' THEN ': ' || left(summary, 180) ELSE '' END AS item FROM vault_registry),
 p AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY path, note_id) AS position FROM i)
