@@ -127,6 +127,12 @@ def chapters(texts: DataFrame, key: str, text: str, min_lines: int = MIN_LINES,
     return rows.select(key, F.explode(cut).alias("s")).select(key, "s.*")
 
 
+def chapter_pages(sections: DataFrame, key: str) -> DataFrame:
+    """key, path (`NN-title.md`), content of each section from `chapters`: its body under front matter with title, type and place."""
+    front = md.front_matter_text([("title", F.col("title")), ("type", F.col("type")), ("seq", F.col("seq")), ("first_line", F.col("first_line"))])
+    return sections.select(key, F.concat("seq", F.lit("-"), md.file_name(F.col("title")), F.lit(".md")).alias("path"), F.concat(front, F.lit("\n\n"), "body", F.lit("\n")).alias("content"))
+
+
 def chosen_set(lines: Column, n_lines: int = 100) -> Column:
     """Name of the pattern set with most matches in the first lines: special sets before Markdown's, ties by name; `lines` where none matches."""
     head = F.slice(lines, 1, n_lines)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaultspark.plans import markdown, pages, problems, rendered, vault
+from vaultspark.plans import markdown, pages, problems, rendered, stages, vault
 
 FLAGSHIP = "rank_notes"
-MODULES = [problems, markdown, vault, pages, rendered]
+MODULES = [problems, markdown, vault, pages, rendered, stages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
