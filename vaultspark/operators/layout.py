@@ -25,7 +25,10 @@ CHART = {
     "贵", "后", "阴", "玄", "常", "虎", "空", "龙", "勾", "合", "朱", "蛇",
 }
 CONFIDENCE = {"table_fragment": 0.9, "chart_block": 0.86, "short_column_relation": 0.82, "running_header_noise": 0.75, "heading_break": 0.71, "list_fragment": 0.68}
-FOUND = "risk_type string, confidence double, start_line int, end_line int, heading string, excerpt string"
+PAGE_MARK = re.compile(r"(?:第\s*)?\d+(?:\s*页)?")
+#: Lines in which a page mark is looked for, and lines of context on either side.
+HINT_LINES, RADIUS = 8, 2
+FOUND = "risk_type string, confidence double, start_line int, end_line int, heading string, excerpt string, page_hint string, context_before array<string>, context_after array<string>"
 
 
 def _runs(marks: list[bool]) -> Iterator[tuple[int, int]]:
@@ -86,7 +89,11 @@ def detect(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, risk_type, confidence, start_line (from 1), end_line, heading above, excerpt of every damaged place. Null texts have none."""
+    """key, risk_type, confidence, start_line (from 1), end_line, heading above, excerpt, page_hint, context_before, context_after of every damaged place.
+
+    The page hint is the nearest page mark in its first line and the seven before; context are the lines that aren't blank among two
+    on either side. Null texts have no places.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -95,7 +102,9 @@ def candidates(texts: DataFrame, key: str, text: str) -> DataFrame:
                 lines = t.splitlines()
                 for risk, a, b in detect(t):
                     head = next((lines[j].strip().lstrip("#").strip() for j in range(a, -1, -1) if HEADING.match(lines[j])), "")
-                    rows.append((k, risk, CONFIDENCE[risk], a + 1, b, head, "\n".join(lines[a:b]).strip()))
+                    hint = next((x for j in range(a, max(-1, a - HINT_LINES), -1) if PAGE_MARK.fullmatch(x := lines[j].strip())), None)
+                    around = [[x for x in lines[i:j] if x.strip()] for i, j in ((max(0, a - RADIUS), a), (b, b + RADIUS))]
+                    rows.append((k, risk, CONFIDENCE[risk], a + 1, b, head, "\n".join(lines[a:b]).strip(), hint, *around))
             yield pd.DataFrame(rows, columns=[key, *[c.split()[0] for c in FOUND.split(", ")]])
 
     return texts.filter(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, {FOUND}")
@@ -106,6 +115,17 @@ def normalised(excerpt: Column) -> Column:
     return F.array_join(F.filter(F.transform(md.lines(excerpt), lambda x: F.regexp_replace(md.strip(x), f"[{md.SPACE}]+", " ")), lambda x: x != ""), "\n")
 
 
+def page_hint(lines: Column) -> Column:
+    """The nearest page mark in the last HINT_LINES of some lines, trimmed; null where there is none."""
+    near = F.transform(F.slice(lines, F.greatest(F.size(lines) - HINT_LINES + 1, F.lit(1)), F.lit(HINT_LINES)), lambda x: md.strip(x))
+    return F.try_element_at(F.filter(near, lambda x: x.rlike(f"^{PAGE_MARK.pattern}$")), F.lit(-1))
+
+
+def top(found: DataFrame, n: int = 10) -> DataFrame:
+    """A report's first candidates: highest confidence, then path and line."""
+    return found.orderBy(F.desc("confidence"), "chapter_path", "start_line", "candidate_id").limit(n)
+
+
 def deduplicated(found: DataFrame, key: list[str]) -> DataFrame:
     """One candidate for each key (path, risk, normalised excerpt): highest confidence, then earliest."""
     best = F.min_by(F.struct(*[c for c in found.columns if c not in key]), F.struct(-F.col("confidence"), F.col("start_line"), F.col("candidate_id")))

@@ -60,8 +60,31 @@ def _layout(spark: SparkSession, d: str) -> DataFrame:
     return layout.candidates(table(spark, d, "layout_candidates"), "candidate_id", "source_excerpt")
 
 
-def _risk(risk: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: _layout(spark, d).filter(F.col("risk_type") == risk).select("candidate_id", "start_line", "end_line")
+#: Excerpts with damage of three kinds added, which the tables don't have; one expression for both engines.
+PLANTED = """coalesce(source_excerpt, '') || CASE start_line % 4 WHEN 0 THEN chr(10) || '甲合乙' || chr(10) || 'ab' || chr(10) || '丙冲丁' || chr(10) || 'cd'
+  WHEN 1 THEN chr(10) || '## ' || coalesce(heading, 'x') || chr(10) || 'a' || chr(10) || 'bc' || chr(10) || '- no' || chr(10) || 'de' || chr(10) || 'f'
+  WHEN 2 THEN chr(10) || '- one item here' || chr(10) || 'ab' || chr(10) || 'cd' ELSE '' END"""
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    return layout.candidates(table(spark, d, "layout_candidates").select("candidate_id", F.expr(PLANTED).alias("text")), "candidate_id", "text")
+
+
+def _risk(risk: str, planted: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: (_planted if planted else _layout)(spark, d).filter(F.col("risk_type") == risk).select("candidate_id", "start_line", "end_line")
+
+
+def _context(spark: SparkSession, d: str) -> DataFrame:
+    listed = [F.array_join(c, "\n").alias(c) for c in ("context_before", "context_after")]
+    return _planted(spark, d).select("candidate_id", "risk_type", "start_line", "page_hint", *listed)
+
+
+def _page_hints(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "layout_candidates").select("candidate_id", layout.page_hint(md.lines(F.col("source_excerpt"))).alias("hint")).filter("hint is not null")
+
+
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    return layout.top(table(spark, d, "layout_candidates")).select("candidate_id", "confidence")
 
 
 def _layout_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -177,11 +200,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "patch_batches": _batches,
     "layout_table_runs": _risk("table_fragment"),
     "layout_chart_runs": _risk("chart_block"),
-    "layout_short_runs": _risk("short_column_relation"),
+    "layout_short_runs": _risk("short_column_relation", True),
     "layout_noise": _risk("running_header_noise"),
-    "layout_heading_break": _risk("heading_break"),
-    "layout_list_runs": _risk("list_fragment"),
+    "layout_heading_break": _risk("heading_break", True),
+    "layout_list_runs": _risk("list_fragment", True),
     "layout_documents": _layout_documents,
+    "layout_context": _context,
+    "page_hints": _page_hints,
+    "layout_top": _top,
     "layout_dedupe": _deduplicated,
     "layout_counts": _risk_counts,
     "patch_validate": _errors,
@@ -210,14 +236,21 @@ _HEADING, _ITEM = r"^\s{0,3}#{1,6}\s+", r"^\s*(?:[-*•]\s+|\d+[.)、]\s+|[一
 _NOISE = r"^\s*(?:\d+|Page\s+\d+|第\s*\d+\s*页|[-_=]{2,}|[·•])\s*$"
 _CHART = ", ".join(f"'{c}'" for c in sorted(layout.CHART))
 _CELLS = r"list_filter(regexp_split_to_array(t, '\s{2,}|\t+'), lambda c: c <> '')"
-_LINES = f"""
-WITH split_ AS (SELECT candidate_id, {S.lines('source_excerpt')} AS l FROM layout_candidates),
+
+
+def _lines(key: str, text: str, source: str) -> str:
+    return f"""
+WITH split_ AS (SELECT {key} AS candidate_id, {S.lines('t_')} AS l FROM (SELECT {key}, {text} AS t_ FROM {source}) WHERE t_ IS NOT NULL),
 raw AS (SELECT candidate_id, generate_subscripts(l, 1) AS no, unnest(l) AS r FROM split_),
 lines AS (SELECT *, {S.strip('r')} AS t, regexp_matches(r, '{_HEADING}') AS head FROM raw),
 marked AS (SELECT *, t <> '' AND NOT head AS fit, regexp_matches(t, '{_ITEM}') AS item FROM lines)
 """
 
 
+_LINES = _lines("candidate_id", "source_excerpt", "layout_candidates")
+_PLANTED = _lines("candidate_id", PLANTED, "layout_candidates")
+
+
 def _islands(condition: str, more: str = "") -> str:
     return f"""
 , island AS (SELECT *, no - row_number() OVER (PARTITION BY candidate_id ORDER BY no) AS g FROM (SELECT *{more} FROM marked) WHERE {condition})
@@ -271,6 +304,26 @@ v AS (SELECT p.*, concat_ws('; ',
 """
 _KEY = "coalesce(nullif(patch_id, ''), concat_ws(':', candidate_id, operation))"
 
+LAYOUT = {"layout_table_runs": "table_fragment", "layout_chart_runs": "chart_block", "layout_short_runs": "short_column_relation", "layout_noise": "running_header_noise", "layout_heading_break": "heading_break", "layout_list_runs": "list_fragment"}
+PLANTED_RISKS = {"short_column_relation", "heading_break", "list_fragment"}
+_DETECT = {
+    "table_fragment": _islands("n >= 3 AND list_max(list_transform(c, lambda x: length(x))) <= 12 AND fit", f", {_CELLS} AS c, len({_CELLS}) AS n") + """
+, ends AS (SELECT *, last_value(n) OVER w AS last_n, max(no) OVER w AS last FROM island WINDOW w AS (PARTITION BY candidate_id, g ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+tail AS (SELECT candidate_id, g, last, coalesce(max(no) FILTER (n <> last_n), min(no) - 1) + 1 AS first FROM ends GROUP BY candidate_id, g, last)
+SELECT candidate_id, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line FROM tail WHERE last - first >= 2""",
+    "chart_block": _islands("fit AND length(t) <= 24 AND n <= 8 AND known >= greatest(2, n // 2)", f", len(regexp_extract_all(t, '[^ ]+')) AS n, len(list_filter(regexp_extract_all(t, '[^ ]+'), lambda x: x IN ({_CHART}))) AS known") + "SELECT candidate_id, CAST(min(no) AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM island GROUP BY candidate_id, g HAVING count(*) >= 4",
+    "short_column_relation": _islands("fit AND length(t) <= 8 AND NOT item") + "SELECT candidate_id, CAST(min(no) AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM island GROUP BY candidate_id, g HAVING count(*) >= 4 AND count(*) FILTER (regexp_matches(t, '[刑冲破害合克生]')) >= 2",
+    "running_header_noise": f"""
+, prev AS (SELECT *, last_value(CASE WHEN t <> '' THEN head END IGNORE NULLS) OVER (PARTITION BY candidate_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_head FROM marked)
+SELECT candidate_id, CAST(no AS INTEGER) AS start_line, CAST(no AS INTEGER) AS end_line FROM prev WHERE after_head AND regexp_matches(r, '{_NOISE}')""",
+    "heading_break": """
+, probe AS (SELECT h.candidate_id, h.no, p.no AS p_no, p.t, p.item, min(CASE WHEN length(p.t) > 12 THEN p.no END) OVER (PARTITION BY h.candidate_id, h.no) AS stop FROM marked h JOIN marked p ON p.candidate_id = h.candidate_id AND p.no BETWEEN h.no + 1 AND h.no + 5 WHERE h.head)
+SELECT candidate_id, CAST(no AS INTEGER) AS start_line, CAST(max(p_no) FILTER (t <> '') AS INTEGER) AS end_line FROM probe WHERE stop IS NULL OR p_no < stop GROUP BY candidate_id, no HAVING count(*) FILTER (t <> '' AND length(t) <= 4 AND NOT item) >= 3""",
+    "list_fragment": _islands("fit AND (length(t) <= 4 OR item)") + """
+, begun AS (SELECT *, min(CASE WHEN item THEN no END) OVER (PARTITION BY candidate_id, g) AS first FROM island)
+SELECT candidate_id, CAST(first AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM begun WHERE first IS NOT NULL GROUP BY candidate_id, g, first HAVING count(*) FILTER (no > first AND length(t) <= 4) >= 2""",
+}
+
 ORACLE: dict[str, str] = {
     "rank_notes": _RANK + "SELECT question_id, doc_id, score, place FROM top",
     "workset": f"WITH {_WORKSET} SELECT source_path, page, CASE min(r) WHEN 0 THEN 'category' WHEN 1 THEN 'concept' WHEN 2 THEN 'term' ELSE 'recent' END AS reason FROM review GROUP BY source_path, page",
@@ -316,21 +369,20 @@ SELECT doc_id, CASE WHEN greatest(academic, regulatory, technical) > 0 THEN CASE
 WITH raw AS (SELECT doc_id, {S.lines('text')} AS l FROM documents WHERE text IS NOT NULL), each AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line, unnest(l) AS x FROM raw)
 {" UNION ALL ".join(f"SELECT doc_id, '{name}' AS pattern_set, line, {_TYPED[name]} AS type FROM each WHERE {_ANY[name]}" for name in split.PATTERN_SETS)}""",
     "patch_batches": _PATCH + "SELECT strftime(queued_at, '%Y-%m-%d') AS batch, count(*) AS n_patches, count(*) FILTER (errors <> '') AS n_invalid, count(*) FILTER (errors <> '') = 0 AS accepted FROM v GROUP BY 1",
-    "layout_table_runs": _LINES + _islands("n >= 3 AND list_max(list_transform(c, lambda x: length(x))) <= 12 AND fit", f", {_CELLS} AS c, len({_CELLS}) AS n") + """
-, ends AS (SELECT *, last_value(n) OVER w AS last_n, max(no) OVER w AS last FROM island WINDOW w AS (PARTITION BY candidate_id, g ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-tail AS (SELECT candidate_id, g, last, coalesce(max(no) FILTER (n <> last_n), min(no) - 1) + 1 AS first FROM ends GROUP BY candidate_id, g, last)
-SELECT candidate_id, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line FROM tail WHERE last - first >= 2""",
-    "layout_chart_runs": _LINES + _islands("fit AND length(t) <= 24 AND n <= 8 AND known >= greatest(2, n // 2)", f", len(regexp_extract_all(t, '[^ ]+')) AS n, len(list_filter(regexp_extract_all(t, '[^ ]+'), lambda x: x IN ({_CHART}))) AS known") + "SELECT candidate_id, CAST(min(no) AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM island GROUP BY candidate_id, g HAVING count(*) >= 4",
-    "layout_short_runs": _LINES + _islands("fit AND length(t) <= 8 AND NOT item") + "SELECT candidate_id, CAST(min(no) AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM island GROUP BY candidate_id, g HAVING count(*) >= 4 AND count(*) FILTER (regexp_matches(t, '[刑冲破害合克生]')) >= 2",
-    "layout_noise": _LINES + f"""
-, prev AS (SELECT *, last_value(CASE WHEN t <> '' THEN head END IGNORE NULLS) OVER (PARTITION BY candidate_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_head FROM marked)
-SELECT candidate_id, CAST(no AS INTEGER) AS start_line, CAST(no AS INTEGER) AS end_line FROM prev WHERE after_head AND regexp_matches(r, '{_NOISE}')""",
-    "layout_heading_break": _LINES + """
-, probe AS (SELECT h.candidate_id, h.no, p.no AS p_no, p.t, p.item, min(CASE WHEN length(p.t) > 12 THEN p.no END) OVER (PARTITION BY h.candidate_id, h.no) AS stop FROM marked h JOIN marked p ON p.candidate_id = h.candidate_id AND p.no BETWEEN h.no + 1 AND h.no + 5 WHERE h.head)
-SELECT candidate_id, CAST(no AS INTEGER) AS start_line, CAST(max(p_no) FILTER (t <> '') AS INTEGER) AS end_line FROM probe WHERE stop IS NULL OR p_no < stop GROUP BY candidate_id, no HAVING count(*) FILTER (t <> '' AND length(t) <= 4 AND NOT item) >= 3""",
-    "layout_list_runs": _LINES + _islands("fit AND (length(t) <= 4 OR item)") + """
-, begun AS (SELECT *, min(CASE WHEN item THEN no END) OVER (PARTITION BY candidate_id, g) AS first FROM island)
-SELECT candidate_id, CAST(first AS INTEGER) AS start_line, CAST(max(no) AS INTEGER) AS end_line FROM begun WHERE first IS NOT NULL GROUP BY candidate_id, g, first HAVING count(*) FILTER (no > first AND length(t) <= 4) >= 2""",
+    **{query: (_PLANTED if risk in PLANTED_RISKS else _LINES) + _DETECT[risk] for query, risk in LAYOUT.items()},
+    "layout_documents": " UNION ALL ".join(f"SELECT candidate_id AS doc_id, '{risk}' AS risk_type, start_line, end_line FROM ({_lines('doc_id', 'text', 'documents')} {sql})" for risk, sql in _DETECT.items()),
+    "page_hints": f"""
+WITH l AS (SELECT candidate_id, list_filter(list_transform(list_slice(l, greatest(len(l) - 7, 1), len(l)), lambda x: {S.strip('x')}), lambda x: regexp_matches(x, '^(?:第\\s*)?\\d+(?:\\s*页)?$')) AS m FROM (SELECT candidate_id, {S.lines('source_excerpt')} AS l FROM layout_candidates WHERE source_excerpt IS NOT NULL))
+SELECT candidate_id, m[-1] AS hint FROM l WHERE len(m) > 0""",
+    "layout_top": "SELECT candidate_id, confidence FROM layout_candidates ORDER BY confidence DESC, chapter_path, start_line, candidate_id LIMIT 10",
+    "patch_render": _PATCH + f""", f AS (SELECT * FROM v WHERE errors = '' AND (approved OR confidence >= 0.8)),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY queued_at DESC, queue_pos DESC) AS k FROM f) WHERE k = 1),
+x AS (SELECT m.*, {S.lines('c.source_excerpt')} AS l, {S.strip('payload.replacement', chr(92) + 'n')} AS rep, {S.strip('payload.content', chr(92) + 'n')} AS con, len(payload.header) AS n FROM m JOIN layout_candidates c USING (candidate_id))
+SELECT queue_pos, CASE operation WHEN 'replace_block' THEN rep WHEN 'wrap_code_block' THEN '```' || coalesce(payload.code_language, 'text') || chr(10) || con || chr(10) || '```'
+  WHEN 'replace_with_table' THEN array_to_string(list_concat(['| ' || array_to_string(payload.header, ' | ') || ' |', '| ' || array_to_string(list_transform(payload.header, lambda h: '---'), ' | ') || ' |'],
+    list_transform(payload.cell_rows, lambda r: '| ' || array_to_string(list_transform(range(1, n + 1), lambda i: coalesce(r[i], '')), ' | ') || ' |')), chr(10))
+  WHEN 'join_lines' THEN coalesce(rep, list_reduce(list_concat([''], list_filter(list_transform(l, lambda z: {S.strip('z')}), lambda z: z <> '')), lambda a, b, i: CASE WHEN i = 2 THEN b ELSE a || coalesce(payload.separator, ' ') || b END))
+  ELSE array_to_string(list_filter(list_transform(l, lambda z: regexp_replace(z, '[{S.SPACE}]+$', '')), lambda z: {S.strip('z')} <> '' AND NOT coalesce(list_contains(list_transform(payload.noise_lines, lambda y: {S.strip('y')}), {S.strip('z')}), false)), chr(10)) END AS replacement FROM x""",
     "layout_dedupe": f"""
 SELECT candidate_id FROM (SELECT candidate_id, row_number() OVER (PARTITION BY chapter_path, risk_type, array_to_string(list_filter(list_transform({S.stripped_lines('source_excerpt')}, lambda x: regexp_replace(x, '[{S.SPACE}]+', ' ', 'g')), lambda x: x <> ''), chr(10)) ORDER BY confidence DESC, start_line, candidate_id) AS k FROM layout_candidates) WHERE k = 1""",
     "layout_counts": "SELECT risk_type, chapter_path, count(*) AS n FROM layout_candidates GROUP BY GROUPING SETS ((risk_type), (chapter_path))",

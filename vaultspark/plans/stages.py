@@ -56,8 +56,9 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _registry_fields(spark: SparkSession, d: str) -> DataFrame:
-    fields = F.map_filter(md.front_matter(F.col("text")), lambda k, v: k.isin(md.REGISTRY_FIELDS))
-    return _texts(spark, d).select("doc_id", F.explode(fields).alias("field", "value"))
+    text = F.concat(F.lit("---\n"), "frontmatter", F.lit("\n---\n"))
+    fields = F.map_filter(md.front_matter(text), lambda k, v: k.isin(md.REGISTRY_FIELDS))
+    return table(spark, d, "vault_registry").filter("frontmatter is not null").select("note_id", F.explode(fields).alias("field", "value"))
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +142,7 @@ SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR list_sum(lis
     "frontmatter_variants": f"""
 WITH f AS (SELECT doc_id, line, {_FIELD} AS field, {_BARE} AS bare FROM ({_FRONTS} AND starts_with(text, '---')))
 SELECT doc_id, 'outer' AS quotes, field, {S.strip(S.strip('bare', '"'), "'")} AS value FROM f UNION ALL SELECT doc_id, 'either', field, {S.strip('bare', chr(34) + "'")} FROM f UNION ALL SELECT doc_id, 'double', field, {S.strip('bare', '"')} FROM f""",
-    "registry_fields": f"SELECT doc_id, {_FIELD} AS field, {S.strip(S.strip(_BARE, '"'), "'")} AS value FROM ({_FRONTS}) WHERE field IN ({', '.join(repr(f) for f in md.REGISTRY_FIELDS)})",
+    "registry_fields": f"SELECT note_id, {_FIELD} AS field, {S.strip(S.strip(_BARE, '"'), "'")} AS value FROM (SELECT note_id, unnest({S.front_lines("('---' || chr(10) || frontmatter || chr(10) || '---' || chr(10))")}) AS line FROM vault_registry WHERE frontmatter IS NOT NULL) WHERE field IN ({', '.join(repr(f) for f in md.REGISTRY_FIELDS)})",
     "safe_names": f"""
 WITH n AS (SELECT note_id, title, {S.strip(f"regexp_replace(regexp_replace({S.strip('title')}, '{_SEPARATED}', '-', 'g'), '[{S.SPACE}]+', ' ', 'g')")} AS d,
   {S.strip(f"regexp_replace(regexp_replace(regexp_replace({S.strip(f"regexp_replace({S.strip('title')}, '{_SEPARATED}', ' ', 'g')")}, '^[0-9]+[{S.SPACE}]*', ''), '^[^\\p{{L}}\\p{{N}}]+', ''), '[{S.SPACE}]+', ' ', 'g')")} AS s FROM vault_registry WHERE title IS NOT NULL)
