@@ -13,7 +13,7 @@ def test_query_matches_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
 def test_query_runs(spark, name):
-    assert catalogue.queries()[name](spark, DATA).columns
+    assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
 def test_entry_runs(spark):
