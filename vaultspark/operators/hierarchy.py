@@ -1,7 +1,7 @@
 """Parent-child rows to full hierarchies (p6).
 
-Connected components are found by pointer doubling over (node, parent) pairs; each is co-located and walked depth first,
-iteratively, with node colouring. A component above MAX_GROUP rows is never put into one task: what the walk gives comes from
+Connected components are found by following (node, parent) pairs within chunks and by pointer doubling between them; each is
+co-located and walked depth first, iteratively, with node colouring. A component above MAX_GROUP rows is never put into one task: what the walk gives comes from
 further doubling over its pairs, equal in every column.
 """
 
@@ -23,7 +23,7 @@ WALKED = "section_id bigint, component bigint, root_id bigint, depth int, path a
 
 
 def parent_pairs(sections: DataFrame) -> DataFrame:
-    """section_id, parent_id (null for a root): parent names the stem of a section of the same source_file.
+    """section_id, parent_id (null for a root), source_file: parent names the stem of a section of the same source_file.
 
     Rows with a null section_id are left out, repeated section_ids give one row (the least parent_id); of sections that share
     stem and source_file the least section_id is the parent.
@@ -31,34 +31,87 @@ def parent_pairs(sections: DataFrame) -> DataFrame:
     rows = sections.filter(F.col("section_id").isNotNull()).select("section_id", "source_file", "stem", F.nullif("parent", F.lit("")).alias("parent"))
     stems = rows.filter("stem is not null and source_file is not null").groupBy("source_file", F.col("stem").alias("parent")).agg(F.min("section_id").alias("parent_id"))
     linked = rows.filter("parent is not null and source_file is not null").join(stems, ["source_file", "parent"], "left")
-    roots = rows.filter("parent is null or source_file is null").select("section_id", F.lit(None).cast("bigint").alias("parent_id"))
-    return linked.select("section_id", "parent_id").unionByName(roots).groupBy("section_id").agg(F.min("parent_id").alias("parent_id"))
+    roots = rows.filter("parent is null or source_file is null").select("section_id", F.lit(None).cast("bigint").alias("parent_id"), "source_file")
+    both = linked.select("section_id", "parent_id", "source_file").unionByName(roots)
+    return both.groupBy("section_id").agg(F.min("parent_id").alias("parent_id"), F.min_by("source_file", F.coalesce("parent_id", F.lit(2**63 - 1))).alias("source_file"))
 
 
-def components(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Component of each node of a forest with loops, by pointer doubling; the component is named by its root, or by the least node of its loop.
+REACHED = "section_id bigint, parent_id bigint, up bigint, steps int, settled boolean, looped boolean"
 
-    Returns (section_id, component, depth), depth null in components with a loop, and the staged pairs.
-    After k rounds a node knows its ancestor 2^k steps up. Rounds end when one settles no node: the depths of a forest have no gap.
+
+def ends(parent_of: dict[int, int | None]) -> Iterator[tuple]:
+    """(node, parent, up, steps, settled, looped) of each node: how far its ancestors lead among these nodes.
+
+    Settled: to a root, or around a loop, whose least node is `up` then; else `up` is the first ancestor that isn't here.
+    """
+    loops = {x: min(ring) for ring in find_loops(parent_of) for x in ring}
+    known: dict[int, tuple[int, int, bool, bool]] = {x: (least, 0, True, True) for x, least in loops.items()}
+    for start in parent_of:
+        trail, x = [], start
+        while x in parent_of and x not in known and parent_of[x] is not None:
+            trail.append(x)
+            x = parent_of[x]
+        up, steps, settled, looped = known.get(x) or (x, 0, x in parent_of, False)
+        if x in parent_of and x not in known:
+            known[x] = up, steps, settled, looped
+        for y in reversed(trail):
+            steps += 1
+            known[y] = up, steps, settled, looped
+    for x, p in parent_of.items():
+        yield x, p, *known[x]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], key: str, most: int = 50_000) -> Iterator[dict[int, int | None]]:
+    """Parents by node of whole keys, some 50,000 rows at a time; batches are sorted by key, and a key may span several."""
+    held: dict[int, int | None] = {}
+    last = None
+    for batch in batches:
+        for k, node, parent in zip(*(batch.column(c).to_pylist() for c in (key, "section_id", "parent_id"))):
+            if k != last and len(held) >= most:
+                yield held
+                held = {}
+            last = k
+            held[node] = parent
+    if held:
+        yield held
+
+
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_()]
+    names = [c.split()[0] for c in REACHED.split(", ")]
+    for parent_of in _chunks(batches, "chunk"):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends(parent_of)), types)], names)
+
+
+def components(pairs: DataFrame, most: int = MAX_GROUP) -> DataFrame:
+    """section_id, parent_id, component, depth (null in components with a loop) of each node of a forest with loops.
+
+    A component is named by its root, or by the least node of its loop. Chains are followed within chunks of a source_file of some
+    `most` rows, which is all of it unless it is large; what leads out of a chunk is settled by pointer doubling: after k rounds a
+    node knows where 2^k chunks lead. Rounds end when one settles no node: the numbers of chunks have no gap.
     """
-    pairs = stage_table(pairs)
-    far = stage_table(pairs.select(F.col("section_id").alias("id"), F.coalesce("parent_id", "section_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("int").alias("steps"), F.col("parent_id").isNull().alias("settled")))
+    file = F.coalesce("source_file", F.concat(F.lit("\u0001"), F.pmod("section_id", F.lit(997)).cast("string")))
+    keyed = pairs.withColumn("file", file)
+    sizes = keyed.groupBy("file").agg(F.ceil(F.count("*") / most).alias("chunks"))
+    placed = keyed.join(sizes, "file").select("section_id", "parent_id", F.concat("file", F.lit("\u0001"), F.pmod(F.xxhash64("section_id"), F.col("chunks")).cast("string")).alias("chunk"))
+    far = stage_table(placed.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_reach, REACHED))
     unsettled = far.filter("not settled").count()
     while unsettled:
-        open_ = far.filter("not settled")
-        target = far.select(F.col("id").alias("t_id"), F.col("up").alias("t_up"), F.col("steps").alias("t_steps"), F.col("settled").alias("t_settled"))
-        moved = open_.join(target, F.col("up") == F.col("t_id")).select("id", F.col("t_up").alias("up"), (F.col("steps") + F.col("t_steps")).alias("steps"), F.col("t_settled").alias("settled"))
+        target = far.select(F.col("section_id").alias("t_id"), F.col("up").alias("t_up"), F.col("steps").alias("t_steps"), F.col("settled").alias("t_settled"), F.col("looped").alias("t_looped"))
+        moved = far.filter("not settled").join(target, F.col("up") == F.col("t_id"))
+        moved = moved.select("section_id", "parent_id", F.col("t_up").alias("up"), (F.col("steps") + F.col("t_steps")).alias("steps"), F.col("t_settled").alias("settled"), F.col("t_looped").alias("looped"))
         after = stage_table(far.filter("settled").unionByName(moved))
         drop_stage(far)
         far, before = after, unsettled
         unsettled = far.filter("not settled").count()
         if unsettled == before:
             break
-    done = far.filter("settled").select(F.col("id").alias("section_id"), F.col("up").alias("component"), F.col("steps").alias("depth"))
+    done = far.filter("settled").select("section_id", "parent_id", F.col("up").alias("component"), F.when(~F.col("looped"), F.col("steps")).alias("depth"))
     if not unsettled:
-        return done, pairs
-    looped = _loops(pairs, far.filter("not settled").select("id"))
-    return done.unionByName(looped.select("section_id", "component", F.lit(None).cast("int").alias("depth"))), pairs
+        return done
+    rest = far.filter("not settled").select("section_id", "parent_id")
+    looped = _loops(rest.select("section_id", "parent_id"), rest.select(F.col("section_id").alias("id")))
+    return done.unionByName(rest.join(looped, "section_id").select("section_id", "parent_id", "component", F.lit(None).cast("int").alias("depth")))
 
 
 def _loops(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -150,14 +203,11 @@ def walk_forest(parent_of: dict[int, int | None], paths: bool = True) -> Iterato
 
 
 def _walk(paths: bool):
-    """Batches sorted by component to walked rows. Whole components are walked together, some 50,000 rows at a time; one may span batches."""
+    """Batches sorted by component to walked rows; whole components are walked together."""
     schema = pa.schema([(c, {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}[kind]) for c, kind in (x.split() for x in WALKED.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent_of: dict[int, int | None] = {}
-        last = None
-
-        def walked() -> Iterator[pa.RecordBatch]:
+        for parent_of in _chunks(batches, "component"):
             out, load = [], 0
             for row in walk_forest(parent_of, paths):
                 out.append(row)
@@ -168,15 +218,6 @@ def _walk(paths: bool):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
-        for batch in batches:
-            for component, node, parent in zip(*(batch.column(c).to_pylist() for c in ("component", "section_id", "parent_id"))):
-                if component != last and len(parent_of) >= 50_000:
-                    yield from walked()
-                    parent_of = {}
-                last = component
-                parent_of[node] = parent
-        yield from walked()
-
     return run
 
 
@@ -242,8 +283,7 @@ def hierarchy(sections: DataFrame, paths: bool = True, max_group: int = MAX_GROU
 
     Components of up to max_group rows are walked where they are co-located, larger ones give the same rows without being gathered.
     """
-    named, pairs = components(parent_pairs(sections))
-    nodes = stage_table(named.join(pairs, "section_id"))
+    nodes = components(parent_pairs(sections), max_group)
     large = stage_table(nodes.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > max_group).select("component"))
     any_large = bool(large.limit(1).count())
     rest = nodes.join(large, "component", "left_anti") if any_large else nodes

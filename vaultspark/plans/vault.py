@@ -141,7 +141,7 @@ def _file_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
-    return H.parent_pairs(table(spark, d, "sections")).filter("parent_id is not null")
+    return H.parent_pairs(table(spark, d, "sections")).filter("parent_id is not null").select("section_id", "parent_id")
 
 
 _VIEW = {
