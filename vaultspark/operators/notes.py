@@ -91,10 +91,8 @@ def title_mentions(texts: DataFrame, key: str, text: str, titles: DataFrame, own
     own is the column with the text's own title, which counts for no mention. The titles are matched by one automaton over each
     text, in blocks of a fixed number of titles, so neither side is paired with the other. An empty table of titles gives no rows.
     """
-    found = occurrences(texts, key, text, titles.filter("length(title) >= 3").select(F.col("title").alias("word")), block).withColumnRenamed("word", "title")
-    rows = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_text"), (F.col(own) if own else F.lit(None).cast("string")).alias("_own"))
-    linked = F.contains("_text", F.concat(F.lit("[["), "title", F.lit("]]")))
-    return found.join(rows, F.col(key) == F.col("_k")).filter(~linked & ~F.col("title").eqNullSafe(F.col("_own"))).select(key, "title").distinct()
+    wanted = titles.filter("length(title) >= 3").select(F.col("title").alias("word"))
+    return occurrences(texts, key, text, wanted, block, own, unlinked=True).withColumnRenamed("word", "title")
 
 
 def cross_references(texts: DataFrame, key: str, text: str) -> DataFrame:

@@ -39,18 +39,22 @@ def blocks(words: DataFrame, block: int = BLOCK) -> list[list[str]]:
     return [[r.word for r in wanted.filter(F.pmod(F.xxhash64("word"), F.lit(n)) == b).collect()] for b in range(n)]
 
 
-def occurrences(texts: DataFrame, key: str, text: str, words: DataFrame, block: int = BLOCK) -> DataFrame:
-    """key, word of each string (word) that occurs in a text, each once. Null texts hold nothing."""
+def occurrences(texts: DataFrame, key: str, text: str, words: DataFrame, block: int = BLOCK, own: str | None = None, unlinked: bool = False) -> DataFrame:
+    """key, word of each string (word) that occurs in a text, each once for each row. Null texts hold nothing.
+
+    own is a column with a string that doesn't count for its row; unlinked leaves out what a text also holds as [[word]].
+    """
     schema = f"{key} {texts.schema[key].dataType.simpleString()}, word string"
-    rows = texts.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"))
+    rows = texts.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("_text"), (F.col(own) if own else F.lit(None).cast("string")).alias("_own"))
 
     def search(part: list[str]) -> DataFrame:
         name = uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = automaton(name, part)
+            held = automaton(name, part)
             for batch in batches:
-                yield pd.DataFrame([(k, w) for k, x in zip(batch[key], batch["_text"]) for w in sorted({w for _, w in own.iter(x)})], columns=[key, "word"])
+                found = ((k, w, x) for k, x, o in zip(batch[key], batch["_text"], batch["_own"]) for w in {w for _, w in held.iter(x)} if w != o)
+                yield pd.DataFrame([(k, w) for k, w, x in found if not unlinked or f"[[{w}]]" not in x], columns=[key, "word"])
 
         return rows.mapInPandas(run, schema)
 
