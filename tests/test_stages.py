@@ -158,4 +158,4 @@ def test_state_is_merged(spark, tmp_path):
 def test_names(spark):
     rows = spark.createDataFrame([(' 12 a/b: "c" ',), ("***",), ("",), (None,)], "t string")
     got = [tuple(r) for r in rows.select(md.display_name(F.col("t")), md.section_name(F.col("t")), md.file_name(F.col("t"))).collect()]
-    assert got == [("12 a-b- -c-", "a b c", "12-a_b-c_"), ("-", "Notes", "_"), ("untitled", "Notes", "untitled"), (None, None, None)]
+    assert got == [("12 a-b- -c-", "a b c", "12-a_b-c_"), ("-", "Notes", "-"), ("untitled", "Notes", "untitled"), (None, None, None)]
