@@ -148,15 +148,15 @@ def _jump(far: DataFrame) -> DataFrame:
 
 
 def find_loops(parent_of: dict[int, int | None]) -> list[list[int]]:
-    """The loops among parent links, each as its nodes."""
+    """The loops among parent links, each as its nodes; a parent may lead out of these nodes."""
     seen: dict[int, int] = {}
     loops = []
     for n, start in enumerate(parent_of):
         x: int | None = start
-        while x is not None and x not in seen:
+        while x in parent_of and x not in seen:
             seen[x] = n
             x = parent_of[x]
-        if x is not None and seen[x] == n:
+        if seen.get(x) == n:
             ring, y = [x], parent_of[x]
             while y != x:
                 ring.append(y)
