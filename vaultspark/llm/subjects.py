@@ -1,15 +1,15 @@
 """Subject areas of documents (p9): latent Dirichlet topics fitted over the whole corpus, without labels.
 
 Every document's words are counted; the vocabulary leaves out words that nearly all documents of a language share. Topics start from
-clusters of a bounded sample and are fitted by distributed EM over all documents. Each topic is named through its top terms: by the
-subject whose labelled documents hold them. A passage takes the subject its words speak for, given its document's topic
+words that stand in the same documents, become clusters of all documents and are then fitted by distributed EM over all of them. Each
+topic is named through its top terms: by the subject whose labelled documents hold them. A passage takes the subject its words speak for, given its document's topic
 proportions, and a document the subjects that take about a fifth of its passages.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +22,20 @@ from vaultspark.session import spread, stage_table
 #: Topics fitted: about two for each subject and language; of a small corpus one for FEWEST documents and WORDS_EACH words at most, but not
 #: fewer than subjects for the latter.
 TOPICS, FEWEST, WORDS_EACH = 80, 5, 20
-#: Documents from which the topics start, at most about; the topics themselves are fitted over all documents.
-START_DOCS, START_ROUNDS = 4000, 15
+#: Figures by which a word's company in all documents is told, and rounds of clustering words by it.
+FIGURES, WORD_ROUNDS = 64, 20
+#: Rounds of clustering all documents, and those after which clusters of few documents give way to halves of loose ones.
+CLUSTER_ROUNDS, SPLITS = 4, (1, 2)
+#: Parts of an even share of the documents: a cluster below the first gives way, one below the second isn't halved.
+FEW, MANY = 0.1, 0.3
 #: Rounds of EM over all documents, and updates of a document's proportions within one.
-ROUNDS, INNER = 1, 4
+ROUNDS, INNER = 2, 4
 ALPHA, BETA = 0.1, 0.02
 #: A word of the vocabulary is in at least this share of the documents, and in RARE of them. As a document has few distinct words, the
 #: vocabulary is bounded by their number over the share, however large the corpus.
 LEAST_DF, RARE = 1 / 20_000, 3
 #: A word in more than this share of the documents of any language is no word of a subject; twice an even share where subjects are few.
 COMMON = 0.3
-#: Labelled documents that topics are named by, at most; they name topics and fit none, so a few for each topic are enough.
-LABELLED = 5_000
 TOP_TERMS = 30
 #: A topic is a subject's if its terms raise the odds of it so many times over those in all labels, and speak for it so many times more
 #: than for the next subject; else it is nobody's.
@@ -134,7 +136,7 @@ class Words:
 
 
 TOKENS = "doc_id bigint, lang string, ids array<bigint>, ends array<int>"
-CODED = "doc_id bigint, ids array<int>, ends array<int>"
+CODED = "doc_id bigint, ids array<int>, ends array<int>, words array<int>, counts array<int>"
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
@@ -166,8 +168,8 @@ def tokenised(documents: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, TOKENS)
 
 
-def vocabulary(tokens: DataFrame, n_subjects: int) -> tuple[np.ndarray, int]:
-    """(sorted hashes of the words that topics are made of, number of documents with words)."""
+def vocabulary(tokens: DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes of the words that topics are made of, documents with each, number of documents with words)."""
     some = tokens.filter(F.size("ids") > 0)
     sizes = {r.lang: r.n for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # at most as many as pairs of letters
     total = sum(sizes.values())
@@ -178,11 +180,15 @@ def vocabulary(tokens: DataFrame, n_subjects: int) -> tuple[np.ndarray, int]:
     limit = F.coalesce(*[F.when(F.col("lang") == lang, n * share) for lang, n in large], F.lit(float(total)))
     met = some.select("lang", F.explode(F.array_distinct("ids")).alias("word")).groupBy("word", "lang").agg(F.count("*").alias("n"))
     kept = met.groupBy("word").agg(F.sum("n").alias("n"), F.bool_or(F.col("n") > limit).alias("common")).filter(~F.col("common") & (F.col("n") >= max(RARE, LEAST_DF * total)))
-    return np.sort(kept.select("word").toPandas()["word"].to_numpy(np.int64)), total
+    found = kept.select("word", "n").toPandas().sort_values("word")
+    return found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64), total
 
 
 def coded(tokens: DataFrame, words: np.ndarray) -> DataFrame:
-    """doc_id, ids (places in the vocabulary), ends of every document; words outside it are left out, their passages stay."""
+    """doc_id, ids (places in the vocabulary), ends, words (its distinct ids, sorted), counts of every document.
+
+    Words outside the vocabulary are left out, their passages stay.
+    """
     sent = tokens.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +202,11 @@ def coded(tokens: DataFrame, words: np.ndarray) -> DataFrame:
             starts = before[at]
             own = np.repeat(np.arange(batch.num_rows), np.diff(ends_at))
             ends = (before[ends + at[own]] - starts[own]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(place[kept].astype(np.int32), starts), _lists(ends, ends_at)], ["doc_id", "ids", "ends"])
+            inside = place[kept].astype(np.int32)
+            doc, word, n = word_counts(inside, starts, len(known))
+            words_at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            lists = [_lists(inside, starts), _lists(ends, ends_at), _lists(word.astype(np.int32), words_at), _lists(n.astype(np.int32), words_at)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "ids", "ends", "words", "counts"])
 
     return tokens.select("doc_id", "ids", "ends").mapInArrow(run, CODED)
 
@@ -208,28 +218,44 @@ def word_counts(ids: np.ndarray, at: np.ndarray, n_words: int) -> tuple[np.ndarr
     return pairs // n_words, pairs % n_words, n.astype(np.float32)
 
 
-def expected(doc: np.ndarray, word: np.ndarray, n: np.ndarray, beta: np.ndarray, sums: np.ndarray, inner: int = INNER) -> None:
-    """Add the topic weights of a batch's words to sums: variational updates of each document's proportions, in blocks that stay in the cache."""
+def counted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, word, count) of a batch with words and counts, sorted."""
+    word, at = _flat(batch.column("words"))
+    return np.repeat(np.arange(batch.num_rows), np.diff(at)), word, _flat(batch.column("counts"))[0].astype(np.float32)
+
+
+def blocks(doc: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, first place of each document, document of each place) of blocks of whole documents that stay in the cache."""
     if not len(doc):
         return
     starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     cuts = [0, *starts[np.flatnonzero(np.diff(starts // 1500)) + 1].tolist(), len(doc)]
-    ones = np.ones(beta.shape[1], np.float32)
     for a, b in zip(cuts, cuts[1:]):
-        own, w, c = doc[a:b], word[a:b], n[a:b]
+        own = doc[a:b]
         at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        local = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(own))))
+        yield a, b, at, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(own))))
+
+
+def add_by_word(sums: np.ndarray, word: np.ndarray, rows: np.ndarray) -> None:
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    sums[word[at]] += np.add.reduceat(rows[order], at, axis=0)
+
+
+def expected(doc: np.ndarray, word: np.ndarray, n: np.ndarray, beta: np.ndarray, sums: np.ndarray) -> None:
+    """Add the topic weights of a batch's words to sums: variational updates of each document's proportions."""
+    ones = np.ones(beta.shape[1], np.float32)
+    for a, b, at, local in blocks(doc):
+        w, c = word[a:b], n[a:b]
         like = beta[w]
         theta = np.ones((len(at), beta.shape[1]), np.float32)
-        for _ in range(inner):
+        for _ in range(INNER):
             phi = (theta + np.float32(ALPHA))[local]
             phi *= like
             phi *= (c / (phi @ ones + np.float32(1e-30)))[:, None]
             theta = np.add.reduceat(phi, at, axis=0)
-        order = np.argsort(w, kind="stable")
-        w = w[order]
-        at = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        sums[w[at]] += np.add.reduceat(phi[order], at, axis=0)
+        add_by_word(sums, w, phi)
 
 
 def normalised(counts: np.ndarray) -> np.ndarray:
@@ -237,35 +263,72 @@ def normalised(counts: np.ndarray) -> np.ndarray:
     return (smooth / smooth.sum(0)).astype(np.float32)
 
 
-def started(doc: np.ndarray, word: np.ndarray, n: np.ndarray, n_docs: int, n_words: int, topics: int) -> np.ndarray:
-    """Topic weights of the words in a sample: spherical clusters from far-apart documents, then rounds of EM."""
-    rng = np.random.default_rng(0)
-    rarity = np.log(n_docs / np.maximum(np.bincount(word, minlength=n_words), 1)).astype(np.float32).clip(0.1)
-    x = np.zeros((n_docs, n_words), np.float32)
-    x[doc, word] = np.sqrt(n) * rarity[word]
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    centres, far = [0], 1 - x @ x[0]
-    for _ in range(topics - 1):
-        weight = far.clip(0) ** 2
-        if not weight.sum():
+def weighed(doc: np.ndarray, word: np.ndarray, n: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Weights of a batch's words, those of each document being of length 1."""
+    x = np.sqrt(n) * rarity[word]
+    return (x / np.sqrt(np.bincount(doc, x * x) + 1e-18)[doc]).astype(np.float32)
+
+
+def company(doc: np.ndarray, word: np.ndarray, x: np.ndarray, signs: np.ndarray, sums: np.ndarray) -> None:
+    """Add to sums, for each word of a batch, the projections by signs of what else is in its documents."""
+    for a, b, at, local in blocks(doc):
+        own = signs[word[a:b]] * x[a:b, None]
+        rest = np.add.reduceat(own, at, axis=0)[local] - own
+        rest *= x[a:b, None]
+        add_by_word(sums, word[a:b], rest)
+
+
+def nearest(doc: np.ndarray, word: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cluster, likeness to it, likeness to the next one) of each document with words of a batch."""
+    best, top, second = [np.empty(0, int)], [np.empty(0, np.float32)], [np.empty(0, np.float32)]
+    for a, b, at, _ in blocks(doc):
+        like = centres[word[a:b]]
+        like *= x[a:b, None]
+        like = np.add.reduceat(like, at, axis=0)
+        best.append(like.argmax(1))
+        each = np.arange(len(at))
+        top.append(like[each, best[-1]])
+        like[each, best[-1]] = -1
+        second.append(like.max(1))
+    return np.concatenate(best), np.concatenate(top), np.concatenate(second)
+
+
+def unit(columns: np.ndarray) -> np.ndarray:
+    return (columns / (np.linalg.norm(columns, axis=0) + 1e-9)).astype(np.float32)
+
+
+def word_clusters(profile: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Cluster (of k at most) of each word: spherical clusters of profiles, from frequent words whose company differs most."""
+    length = np.linalg.norm(profile, axis=1)
+    x, weight = profile / (length + 1e-9)[:, None], np.sqrt(weight / weight.sum())
+    centres, far = [int(weight.argmax())], (length > 0).astype(float)
+    while True:
+        far = np.minimum(far, (1 - x @ x[centres[-1]]).clip(0))
+        if len(centres) == k or not far.any():
             break
-        tried = rng.choice(n_docs, 4, p=weight / weight.sum())
-        near = np.minimum(far[:, None], 1 - x @ x[tried].T)
-        best = near.sum(0).argmin()
-        centres.append(tried[best])
-        far = near[:, best]
+        centres.append(int((far * weight).argmax()))
     middle = x[centres]
-    for _ in range(4):
-        of = np.zeros((n_docs, len(middle)), np.float32)
-        of[np.arange(n_docs), (x @ middle.T).argmax(1)] = 1
-        middle = of.T @ x
-        middle /= np.linalg.norm(middle, axis=1, keepdims=True) + 1e-9
-    sums = np.zeros((n_words, len(middle)), np.float32)
-    sums += np.stack([np.bincount(word, weights=of[doc, k] * n, minlength=n_words) for k in range(len(middle))], 1)
-    for _ in range(START_ROUNDS):
-        beta, sums = normalised(sums), np.zeros_like(sums)
-        expected(doc, word, n, beta, sums, 3)
-    return sums
+    for _ in range(WORD_ROUNDS):
+        of = (x @ middle.T).argmax(1)
+        total = np.zeros_like(middle)
+        np.add.at(total, of, x * weight[:, None])
+        there = np.linalg.norm(total, axis=1) > 0
+        middle[there] = total[there] / np.linalg.norm(total[there], axis=1, keepdims=True)
+    return (x @ middle.T).argmax(1)
+
+
+def split(centres: np.ndarray, far: np.ndarray, sizes: np.ndarray, likeness: np.ndarray, clear: np.ndarray) -> np.ndarray:
+    """Centres (sums of documents) in which clusters of few documents give way to halves of the loosest ones.
+
+    far are the sums of those documents that are less like their centre than others; likeness to it, and how much more than to the
+    next one (clear), are summed. A small cluster that is clearer than documents are on the whole stays.
+    """
+    out, even = centres.copy(), sizes.sum() / len(sizes)
+    few = np.flatnonzero((sizes < FEW * even) & (clear * sizes.sum() <= clear.sum() * sizes))
+    loose = [k for k in np.argsort(likeness / np.maximum(sizes, 1), kind="stable") if sizes[k] >= MANY * even and far[:, k].any()]
+    for a, b in zip(few, loose):
+        out[:, a], out[:, b] = far[:, b], centres[:, b] - far[:, b]
+    return out
 
 
 def _summed(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,65 +346,89 @@ def _rows(sums: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(sums[there, j].astype(np.float32)) for j in range(sums.shape[1]))], ["word", *(f"w{j}" for j in range(sums.shape[1]))])
 
 
-def fit_topics(docs: DataFrame, n_docs: int, n_words: int, n_subjects: int) -> np.ndarray:
-    """Weights (words by topics) of latent Dirichlet topics over all documents (doc_id, ids).
+def fit_topics(docs: DataFrame, df: np.ndarray, n_docs: int, n_subjects: int) -> np.ndarray:
+    """Weights (words by topics) of latent Dirichlet topics over all documents (words, counts); df are the documents with each word.
 
-    One task makes the start from a sample of bounded size; then EM runs where the documents are, and only sums are gathered.
+    Every step is a pass over all documents, run where they are, of which only sums are gathered: the company of each word, by which
+    words are clustered; clusters of documents, from those of words; EM, from the counts of the documents' clusters.
     """
     spark = docs.sparkSession
-    some = docs.filter(F.size("ids") > 0).select("doc_id", "ids")
+    some = docs.filter(F.size("words") > 0).select("words", "counts")
+    n_words = len(df)
     topics = max(2, min(TOPICS, n_docs // FEWEST, max(n_subjects, n_words // WORDS_EACH)))
-    parts = 1 << 30
-    sample = some if n_docs <= START_DOCS else some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < int(parts * START_DOCS / n_docs))
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])).sort_by("doc_id").combine_chunks()
-        if rows.num_rows:
-            doc, word, n = word_counts(*_flat(rows.column("ids").chunk(0)), n_words)
-            sums = started(doc, word, n, rows.num_rows, n_words, topics)
-            yield _rows(np.pad(sums, ((0, 0), (0, topics - sums.shape[1]))))
-
-    def gathered(rows: DataFrame) -> np.ndarray:
-        sums = np.zeros((n_words, topics))
-        word, weights = _summed(rows, topics)
-        sums[word] = weights
-        return sums
+    rarity = np.log(n_docs / df).clip(0.1).astype(np.float32)
 
-    sums = gathered(sample.repartition(1).mapInArrow(start, _weights(topics)))
-    for _ in range(ROUNDS):
-        sent = spark.sparkContext.broadcast(normalised(sums))
+    def summed(add: Callable[..., None], n_rows: int, k: int, *values: np.ndarray) -> np.ndarray:
+        sent = spark.sparkContext.broadcast(values)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            own = np.zeros(sent.value.shape)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros((n_rows, k))
             for batch in batches:
-                expected(*word_counts(*_flat(batch.column("ids")), n_words), sent.value, own)
+                add(*counted(batch), own, *sent.value)
             yield _rows(own)
 
-        sums = gathered(some.select("ids").mapInArrow(run, _weights(topics)))
+        sums = np.zeros((n_rows, k))
+        place, weights = _summed(some.mapInArrow(run, _weights(k)), k)
+        sums[place] = weights
+        return sums
+
+    def met(doc: np.ndarray, word: np.ndarray, n: np.ndarray, own: np.ndarray, signs: np.ndarray, rarity: np.ndarray) -> None:
+        company(doc, word, weighed(doc, word, n, rarity), signs, own)
+
+    def cluster(doc: np.ndarray, word: np.ndarray, n: np.ndarray, own: np.ndarray, centres: np.ndarray, rarity: np.ndarray, mean: np.ndarray) -> None:
+        """Sums of the documents of each cluster, sums of those less like it than mean, their number, likeness and clearness; without mean, counts."""
+        x = weighed(doc, word, n, rarity)
+        best, top, second = nearest(doc, word, x, centres)
+        place = np.cumsum(np.concatenate([[False], doc[1:] != doc[:-1]]))[: len(doc)]
+        at = word * np.int64(topics) + best[place]
+        if not len(mean):
+            own += np.bincount(at, n, own.size).reshape(own.shape)
+            return
+        far = (top < mean[best])[place]
+        own[:n_words] += np.bincount(at, x, n_words * topics).reshape(n_words, topics)
+        own[n_words:-3] += np.bincount(at[far], x[far], n_words * topics).reshape(n_words, topics)
+        own[-3:] += [np.bincount(best, minlength=topics), np.bincount(best, top, topics), np.bincount(best, top - second, topics)]
+
+    def em(doc: np.ndarray, word: np.ndarray, n: np.ndarray, own: np.ndarray, beta: np.ndarray) -> None:
+        expected(doc, word, n, beta, own)
+
+    signs = (np.random.default_rng(0).integers(0, 2, (n_words, FIGURES)) * 2 - 1).astype(np.float32)
+    of = word_clusters(summed(met, n_words, FIGURES, signs, rarity), df, topics)
+    centres = np.zeros((n_words, topics))
+    centres[np.arange(n_words), of] = rarity * np.sqrt(df / n_docs)
+    mean = np.zeros(topics, np.float32)
+    for k in range(CLUSTER_ROUNDS - 1):
+        sums = summed(cluster, 2 * n_words + 3, topics, unit(centres), rarity, mean)
+        centres, (sizes, likeness, clear) = sums[:n_words], sums[-3:]
+        if k in SPLITS:
+            centres = split(centres, sums[n_words:-3], sizes, likeness, clear)
+        mean = (likeness / np.maximum(sizes, 1)).astype(np.float32) if k + 1 in SPLITS else np.zeros(topics, np.float32)
+    sums = summed(cluster, n_words, topics, unit(centres), rarity, mean[:0])
+    for _ in range(ROUNDS):
+        sums = summed(em, n_words, topics, normalised(sums))
     return sums
 
 
 def label_shares(docs: DataFrame, labels: DataFrame, codes: list[str], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(labelled documents with each word, their subjects' shares with each word, shares over all of them).
 
-    At most LABELLED documents are read, those of least hash; that bound makes their ids small enough to broadcast. A label
-    given twice by one annotator counts once; a null or unknown subject counts for none.
+    A label given twice by one annotator counts once; a null or unknown subject counts for none.
     """
     k = len(codes)
     votes = labels.filter("doc_id is not null").select("doc_id", "annotator", "subject_code").distinct().groupBy("doc_id").agg(F.count("*").alias("votes"), *[F.count_if(F.col("subject_code") == c).alias(f"v{j}") for j, c in enumerate(codes)])
-    sample = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    joined = docs.join(F.broadcast(sample), "doc_id")
+    joined = docs.select("doc_id", "words").join(votes, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((n_words + 1, k + 1))
         for batch in batches:
             share = np.stack([batch.column(f"v{j}").to_numpy() for j in range(k)], 1) / batch.column("votes").to_numpy()[:, None]
-            doc, word, _ = word_counts(*_flat(batch.column("ids")), n_words)
+            word, at = _flat(batch.column("words"))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
             np.add.at(sums, word, np.column_stack([np.ones(len(doc)), share[doc]]))
             sums[n_words] += [batch.num_rows, *share.sum(0)]
         yield _rows(sums)
 
-    word, weights = _summed(joined.select("ids", "votes", *[f"v{j}" for j in range(k)]).mapInArrow(run, _weights(k + 1)), k + 1)
+    word, weights = _summed(joined.select("words", "votes", *[f"v{j}" for j in range(k)]).mapInArrow(run, _weights(k + 1)), k + 1)
     sums = np.zeros((n_words + 1, k + 1))
     sums[word] = weights
     return sums[:-1, 0], sums[:-1, 1:], sums[-1, 1:] / max(sums[-1, 0], 1)
@@ -414,11 +501,11 @@ class Fitted:
         if not self.codes:
             return
         tokens = stage_table(tokenised(documents))
-        self.words, n_docs = vocabulary(tokens, len(self.codes))
+        self.words, df, n_docs = vocabulary(tokens, len(self.codes))
         if not len(self.words):
             return
         self.docs = stage_table(coded(tokens, self.words))
-        self.sums = fit_topics(self.docs, n_docs, len(self.words), len(self.codes))
+        self.sums = fit_topics(self.docs, df, n_docs, len(self.codes))
         self.subject_of = topic_subjects(self.sums, *label_shares(self.docs, labels, self.codes, len(self.words)))
 
 
